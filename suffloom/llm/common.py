@@ -11,15 +11,19 @@ from collections.abc import Iterable, Iterator
 from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from suffloom.shipping import ship
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: What a word may not hold: the space and the five controls from tab to carriage return.
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -95,7 +99,7 @@ def text_batches(batches: Iterable[pa.RecordBatch], limit: int = 4 << 20) -> Ite
         if col is None:
             yield b
             continue
-        sizes = pa.compute.fill_null(pa.compute.binary_length(col), 0).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(col), 0).to_pylist()
         begin = size = 0
         for i, n in enumerate(sizes):
             if i > begin and size + n > limit:

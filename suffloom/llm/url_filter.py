@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from suffloom.llm.common import lower_ascii, table
+from suffloom.llm.common import lower_ascii, table, written
 
 #: (verdict, rule): a rule is a host and the path after it.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -67,10 +67,11 @@ def _log_ratios(labelled: DataFrame, strength: float) -> DataFrame:
     """
     spark = labelled.sparkSession
     counts = (
-        labelled.select("accepted", F.explode("cells").alias("cell"))
+        labelled.select("accepted", F.explode_outer("cells").alias("cell"))  # explode() would infer a filter that computes the cells anew for each sign
         .groupBy("cell")
         .agg(F.sum(F.when(F.col("accepted"), 1).otherwise(0)).cast("double").alias("a"), F.sum(F.when(F.col("accepted"), 0).otherwise(1)).cast("double").alias("r"))
     )
+    counts = written(counts, "url-cells")
     level = None
     for order in range(_ORDER + 1):
         size = 32 ** (order + 1)
@@ -124,7 +125,7 @@ def filter_urls(
     seeds = _with_cells(seeds).select("url", (~F.col("bad")).alias("accepted"), "cells")
     held_out = F.crc32(F.col("url").cast("binary")) % 5 == 0
     ratios = _log_ratios(seeds.where(~held_out), strength)
-    model = ratios.groupBy().agg(F.sort_array(F.collect_list(F.struct("cell", "ratio"))).alias("m")).select(F.col("m.ratio").alias("m"))
+    model = written(ratios.groupBy().agg(F.sort_array(F.collect_list(F.struct("cell", "ratio"))).alias("m")).select(F.col("m.ratio").alias("m")), "url-model")
 
     def scored(x: DataFrame) -> DataFrame:
         x = x.withColumn("model", model.scalar())
