@@ -11,6 +11,7 @@ rests ever meet in one task.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -169,7 +170,7 @@ def pack(documents: DataFrame, path: str, key: str = "doc_id", capacity: int = 2
         known = unit_table(path, "ids")
         part = TaskContext.get().partitionId()
         seen: Counter = Counter()
-        end = np.array([end_id], "<u4").tobytes()
+        end = array("I", [end_id]).tobytes()
         for b in text_batches(batches, 1 << 20):
             row, out = [], []
             for i, values in enumerate(each_text(known, b.column("text").to_pylist())):

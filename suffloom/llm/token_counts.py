@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterable, Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,18 +24,25 @@ from suffloom.llm.common import table, text_batches, vocabulary_path
 #: Before one of these a text may be cut if the sign in front is no white space.
 _SAFE = re.compile(r"(?<=\S)(?=[ \n\r\t])")
 #: White space in front of a space or newline: cutting there isn't safe, so the fast way is barred.
-_UNSAFE = re.compile(r"[\x00\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -     　]")
+_UNSAFE = re.compile(r"[\x00\x01\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -     　]")
 LONG_TEXT = 1 << 20
 LONG_UNIT = 200
 
 
 def units(text: str) -> list[str]:
-    """Cuts a text at safe boundaries. A unit that begins with neither NUL nor a space had its first
-    sign at the text's begin. In the fast form, NUL stands for a newline in front."""
+    """Names of the units between safe boundaries, in order. NUL in front stands for a newline,
+    SOH for nothing, and without either a space is to be put in front: so plain splitting does."""
     if "  " in text or "\n\n" in text or "\n " in text or " \n" in text or text[:1] in ("\n", " ") or _UNSAFE.search(text):
-        return _SAFE.split(text)
-    first, *rest = text.replace("\n", " \0").split(" ")
-    return [first, *[x.replace("\0", "\n") if x[:1] == "\0" else " " + x for x in rest]]
+        return ["\x01" + x for x in _SAFE.split(text)]
+    out = text.replace("\n", " \0").split(" ")
+    out[0] = "\x01" + out[0]
+    return out
+
+
+def unit(name: str) -> str:
+    """The text of a unit."""
+    first = name[:1]
+    return name[1:] if first == "\x01" else "\n" + name[1:] if first == "\0" else " " + name
 
 
 def safe_pieces(text: str, limit: int = LONG_TEXT) -> Iterator[str]:
@@ -52,7 +60,7 @@ def safe_pieces(text: str, limit: int = LONG_TEXT) -> Iterator[str]:
 class UnitTable:
     """Answers units from a bounded table; encodes those it doesn't hold, a batch at a time."""
 
-    def __init__(self, path: str, value: Callable[[list[int]], object], most: int = 500_000):
+    def __init__(self, path: str, value: Callable[[list[int]], object], most: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -60,13 +68,22 @@ class UnitTable:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.value, self.most, self.known = value, most, {}
-
-    def learn(self, parts: set[str]) -> None:
-        new = list(parts.difference(self.known))
+        self.marks = {x: value(self.tokenizer.encode(x, add_special_tokens=False).ids) for x in ".,;:!?"}
+
+    def learn(self, names: set[str]) -> None:
+        """Encodes the units that aren't known. Letters and one mark behind them are two pieces to
+        the pre-tokenizer, so that such a unit's value follows from that without the mark."""
+        new = names.difference(self.known)
+        marked = [x for x in new if x[-1:] in self.marks and x[:-1].lstrip("\0\x01").isalpha()]
+        new.difference_update(marked)
+        new.update(x[:-1] for x in marked if x[:-1] not in self.known)
+        new = list(new)
         for begin in range(0, len(new), 4096):
             some = new[begin : begin + 4096]
-            for x, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+            for x, e in zip(some, self.tokenizer.encode_batch_fast(list(map(unit, some)), add_special_tokens=False), strict=True):
                 self.known[x] = self.value(e.ids)
+        for x in marked:
+            self.known[x] = self.known[x[:-1]] + self.marks[x[-1]]
 
     def trim(self, long: list[str]) -> None:
         """After a batch: long units go; of too many, the half that was met first stays, as it holds the frequent ones."""
@@ -82,33 +99,30 @@ _TABLES: dict[tuple, UnitTable] = {}
 def unit_table(path: str, kind: str) -> UnitTable:
     """One for each worker process: a later task finds it filled."""
     if (path, kind) not in _TABLES:
-        _TABLES[path, kind] = UnitTable(path, len if kind == "lengths" else lambda ids: np.array(ids, "<u4").tobytes())
+        _TABLES[path, kind] = UnitTable(path, len if kind == "lengths" else lambda ids: array("I", ids).tobytes())
     return _TABLES[path, kind]
 
 
 def each_text(known: UnitTable, texts: list[str | None]) -> Iterator[list[object]]:
     """For each text, the values of its units in order."""
     held: list[list[str]] = []
-    new: set[str] = set()
     size = 0
     for text in texts:
         if text and len(text) > LONG_TEXT:
-            if held:
-                yield from _values(known, held, new)
-                held, new, size = [], set(), 0
-            yield [x for parts in map(units, safe_pieces(text)) for found in _values(known, [parts], set(parts)) for x in found]
+            yield from _values(known, held)
+            held, size = [], 0
+            yield [x for parts in map(units, safe_pieces(text)) for found in _values(known, [parts]) for x in found]
             continue
-        parts = units(text) if text else []
-        held.append(parts)
-        new.update(parts)
-        size += len(parts)
+        held.append(units(text) if text else [])
+        size += len(held[-1])
         if size > 500_000:
-            yield from _values(known, held, new)
-            held, new, size = [], set(), 0
-    yield from _values(known, held, new)
+            yield from _values(known, held)
+            held, size = [], 0
+    yield from _values(known, held)
 
 
-def _values(known: UnitTable, held: list[list[str]], seen: set[str]) -> Iterator[list[object]]:
+def _values(known: UnitTable, held: list[list[str]]) -> Iterator[list[object]]:
+    seen = set(chain.from_iterable(held))
     long = [x for x in seen if len(x) > LONG_UNIT]
     known.learn(seen)
     find = known.known.__getitem__
