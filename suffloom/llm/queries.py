@@ -7,15 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from suffloom.llm.html_text import op9_html_extraction
+from suffloom.llm.language_id import op4_language_id
 from suffloom.llm.packing import op7_packing
 from suffloom.llm.quality_rules import op3_quality_rules
+from suffloom.llm.simhash import op8_simhash_dedup
 from suffloom.llm.token_counts import op6_token_counts
 from suffloom.llm.url_filter import op10_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
+    "op4_language_id": op4_language_id,
     "op6_token_counts": op6_token_counts,
     "op7_packing": op7_packing,
+    "op8_simhash_dedup": op8_simhash_dedup,
     "op9_html_extraction": op9_html_extraction,
     "op10_url_filter": op10_url_filter,
 }
