@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from suffloom.llm.html_text import op9_html_extraction
 from suffloom.llm.importance import op1_importance_resampling
+from suffloom.llm.kneser_ney import op2_kneser_ney
 from suffloom.llm.language_id import op4_language_id
 from suffloom.llm.packing import op7_packing
 from suffloom.llm.quality_rules import op3_quality_rules
@@ -17,6 +18,7 @@ from suffloom.llm.url_filter import op10_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_importance_resampling": op1_importance_resampling,
+    "op2_kneser_ney": op2_kneser_ney,
     "op3_quality_rules": op3_quality_rules,
     "op4_language_id": op4_language_id,
     "op6_token_counts": op6_token_counts,
