@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 from urllib.parse import unquote, urlparse
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -95,13 +96,12 @@ def text_batches(batches: Iterable[pa.RecordBatch], limit: int = 4 << 20) -> Ite
         if b.num_rows <= 1 or b.nbytes <= limit:
             yield b
             continue
-        col = next((b.column(i) for i, f in enumerate(b.schema) if pa.types.is_string(f.type) or pa.types.is_large_string(f.type)), None)
-        if col is None:
-            yield b
-            continue
-        sizes = pc.fill_null(pc.binary_length(col), 0).to_pylist()
+        sizes = np.zeros(b.num_rows, np.int64)
+        for i, f in enumerate(b.schema):
+            if pa.types.is_string(f.type) or pa.types.is_large_string(f.type):
+                sizes += pc.fill_null(pc.binary_length(b.column(i)), 0).to_numpy(zero_copy_only=False)
         begin = size = 0
-        for i, n in enumerate(sizes):
+        for i, n in enumerate(sizes.tolist()):
             if i > begin and size + n > limit:
                 yield b.slice(begin, i - begin)
                 begin, size = i, 0

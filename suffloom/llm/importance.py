@@ -125,8 +125,8 @@ def best_cut(good: np.ndarray, bad: np.ndarray) -> float:
     return float((values[best][i] + below[i]) / 2)
 
 
-def resample(documents: DataFrame, labels: DataFrame, key: str = "doc_id", evidence: int = 200, most_labels: int = 40_000, seed: int = 7, k: int | None = None) -> DataFrame:
-    """One row per document: key, n_features, log_weight, sample_key and kept.
+def resample(documents: DataFrame, labels: DataFrame, key: str = "doc_id", evidence: int = 200, most_labels: int = 40_000, seed: int = 7, k: int | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: key, the columns `also`, n_features, log_weight, sample_key and kept.
 
     labels: key and quality (1 good, 0 bad; of several, the lowest; null: none). Up to
     `most_labels` of them are used, chosen by a hash; half of the good ones make the target
@@ -135,7 +135,8 @@ def resample(documents: DataFrame, labels: DataFrame, key: str = "doc_id", evide
     text weighs as `evidence` n-grams, a short one as it is. A document is kept if log_weight
     plus a Gumbel variate is among the k largest. k: by default, the number of documents whose
     log_weight reaches the cut that best parts the calibrating labels. Ties with the k-th are
-    kept, so that repeated rows share one fate.
+    kept, so that repeated rows share one fate. With `also`, those columns are written along to the
+    shared folder and come back beside the verdict, without a join.
 
     Null and empty texts have no n-grams and weight 0. Without good or without bad labels all
     are kept. An empty table gives an empty result. Other columns are ignored. No text is
@@ -144,8 +145,10 @@ def resample(documents: DataFrame, labels: DataFrame, key: str = "doc_id", evide
     spark = documents.sparkSession
     known = labels.where(F.col("quality").isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.min("quality").alias("quality"))
     known = known.orderBy(F.xxhash64(key), key).limit(most_labels).withColumn("fit", (F.crc32(F.col(key).cast("string").cast("binary")) % 2 == 0) & (F.col("quality") > 0))
-    flagged = documents.select(key, F.col("text").cast("string").alias("text")).join(F.broadcast(known), key, "left")
-    ratios = spark.sparkContext.broadcast(log_ratios(*count_ngrams(flagged.select("text", F.coalesce("fit", F.lit(False)).alias("target")))))
+    flagged = documents.select(key, F.col("text").cast("string").alias("text"), *(c for c in also if c != "text"))
+    flagged = flagged.join(F.broadcast(known.withColumnsRenamed({"quality": "__quality", "fit": "__fit"})), key, "left")
+    carried = (key, *also, "__quality", "__fit")
+    ratios = spark.sparkContext.broadcast(log_ratios(*count_ngrams(flagged.select("text", F.coalesce("__fit", F.lit(False)).alias("target")))))
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = ratios.value
@@ -155,15 +158,15 @@ def resample(documents: DataFrame, labels: DataFrame, key: str = "doc_id", evide
                 for f in hashed_ngrams(text):
                     out[i] += len(f), weight[f].sum()
             log_weight = out[:, 1] * evidence / (out[:, 0] + evidence)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (key, "quality", "fit")), pa.array(out[:, 0].astype(np.int64)), pa.array(log_weight)], names=[key, "quality", "fit", "n_features", "log_weight"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carried), pa.array(out[:, 0].astype(np.int64)), pa.array(log_weight)], names=[*carried, "n_features", "log_weight"])
 
-    scored = flagged.mapInArrow(score, f"{_schema(flagged, (key, 'quality', 'fit'))}, n_features bigint, log_weight double")
+    scored = flagged.mapInArrow(score, f"{_schema(flagged, carried)}, n_features bigint, log_weight double")
     scored = written(scored.withColumn("sample_key", F.col("log_weight") + _gumbel(F.col(key), seed)), "importance")
     if k is None:
-        marks = scored.where(F.col("quality").isNotNull() & ~F.col("fit")).select(key, "quality", "log_weight").dropDuplicates([key]).toPandas()  # at most most_labels rows
+        marks = scored.where(F.col("__quality").isNotNull() & ~F.col("__fit")).select(key, F.col("__quality").alias("quality"), "log_weight").dropDuplicates([key]).toPandas()  # at most most_labels rows
         cut = best_cut(marks["log_weight"][marks["quality"] > 0].to_numpy(float), marks["log_weight"][marks["quality"] <= 0].to_numpy(float))
         k = scored.where(F.col("log_weight") >= cut).count()
-    return scored.select(key, "n_features", "log_weight", "sample_key", (F.col("sample_key") >= kth_largest(scored, "sample_key", k)).alias("kept"))
+    return scored.select(key, *also, "n_features", "log_weight", "sample_key", (F.col("sample_key") >= kth_largest(scored, "sample_key", k)).alias("kept"))
 
 
 def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:

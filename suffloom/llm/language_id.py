@@ -233,7 +233,7 @@ def identify(documents: DataFrame, path: str, key: str = "doc_id", folds: int =
         scorer = _scorer(model)
         names = np.array([*scorer.model.languages, "und"], object)
         for b in text_batches(batches, 2 << 20):
-            n, logs = scorer.texts(b.column("__text").to_pylist())
+            n, logs = scorer.texts(b.column(read).to_pylist())
             pred, score = np.full(len(n), len(names) - 1), np.zeros(len(n))
             if len(names) > 1:
                 full = n > 0
@@ -242,9 +242,9 @@ def identify(documents: DataFrame, path: str, key: str = "doc_id", folds: int =
                 score[full] = 1 / np.exp(x - x.max(1, keepdims=True)).sum(1)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(names[pred], pa.string()), pa.array(score)], names=[*kept, "lang_pred", "score"])
 
-    kept = [key, *also, "held_out"]
-    source = documents.select(key, *also, (held_out_share(key, folds) == fold).alias("held_out"), F.col("text").cast("string").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name != "__text")
+    kept, read = [key, *also, "held_out"], "text" if "text" in also else "__text"
+    source = documents.select(key, *also, (held_out_share(key, folds) == fold).alias("held_out"), *([] if read == "text" else [F.col("text").cast("string").alias(read)]))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name in kept)
     return source.mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from suffloom.llm.decontamination import op5_benchmark_decontamination
 from suffloom.llm.html_text import op9_html_extraction
 from suffloom.llm.importance import op1_importance_resampling
 from suffloom.llm.kneser_ney import op2_kneser_ney
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_kneser_ney": op2_kneser_ney,
     "op3_quality_rules": op3_quality_rules,
     "op4_language_id": op4_language_id,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_token_counts": op6_token_counts,
     "op7_packing": op7_packing,
     "op8_simhash_dedup": op8_simhash_dedup,

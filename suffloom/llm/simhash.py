@@ -149,3 +149,19 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", width: int = 3, b
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one_each(documents: DataFrame, key: str = "doc_id", width: int = 3, bits: int = 2) -> DataFrame:
+    """documents without near-duplicates: of each group the row with the smallest key stays.
+
+    Of rows that repeat a key one stays, if it is the smallest of its group. Rows without a key
+    can't be named in a group, and stay. Columns are those of documents. Keys to drop are joined
+    against documents by the key, which few rows share.
+    """
+    found = written(near_duplicates(documents, key, width, bits).where(F.col(key).isNotNull()).select(key, "component_id"), "groups")
+    stay = documents.join(found.where(F.col("component_id") != F.col(key)).select(key).distinct(), key, "left_anti")
+    repeated = found.where(F.col("component_id") == F.col(key)).groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)
+    if repeated.isEmpty():
+        return stay.select(*documents.columns)
+    again = written(repeated, "repeated")
+    return stay.join(again, key, "left_anti").select(*documents.columns).unionByName(stay.join(again, key, "left_semi").select(*documents.columns).dropDuplicates([key]))
