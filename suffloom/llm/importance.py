@@ -110,8 +110,9 @@ def kth_largest(df: DataFrame, column: str, k: int, bins: int = 4096, rounds: in
     return lo
 
 
-def best_cut(good: np.ndarray, bad: np.ndarray) -> float:
-    """Where the share of good values kept plus that of bad values dropped is largest: the middle of the widest such gap."""
+def best_cut(good: np.ndarray, bad: np.ndarray, most_lost: float = 0.01) -> float:
+    """Where the share of good values kept plus that of bad values dropped is largest, the middle of
+    the widest such gap; but no higher than loses `most_lost` of the good ones."""
     if not len(good) or not len(bad):
         return float("-inf")
     values = np.unique(np.concatenate([good, bad]))
@@ -122,7 +123,7 @@ def best_cut(good: np.ndarray, bad: np.ndarray) -> float:
     best = np.flatnonzero(total >= total.max() - 1e-12)
     below = np.where(best > 0, values[best - 1], values[best])
     i = int((values[best] - below).argmax())
-    return float((values[best][i] + below[i]) / 2)
+    return float(min((values[best][i] + below[i]) / 2, np.quantile(good, most_lost, method="lower")))
 
 
 def resample(documents: DataFrame, labels: DataFrame, key: str = "doc_id", evidence: int = 200, most_labels: int = 40_000, seed: int = 7, k: int | None = None, also: tuple[str, ...] = ()) -> DataFrame:
@@ -134,7 +135,7 @@ def resample(documents: DataFrame, labels: DataFrame, key: str = "doc_id", evide
     log_weight is the sum of the n-grams' log ratios, times evidence / (n + evidence): a long
     text weighs as `evidence` n-grams, a short one as it is. A document is kept if log_weight
     plus a Gumbel variate is among the k largest. k: by default, the number of documents whose
-    log_weight reaches the cut that best parts the calibrating labels. Ties with the k-th are
+    log_weight reaches the cut that best parts the calibrating labels (see best_cut). Ties with the k-th are
     kept, so that repeated rows share one fate. With `also`, those columns are written along to the
     shared folder and come back beside the verdict, without a join.
 
@@ -144,7 +145,7 @@ def resample(documents: DataFrame, labels: DataFrame, key: str = "doc_id", evide
     """
     spark = documents.sparkSession
     known = labels.where(F.col("quality").isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.min("quality").alias("quality"))
-    known = known.orderBy(F.xxhash64(key), key).limit(most_labels).withColumn("fit", (F.crc32(F.col(key).cast("string").cast("binary")) % 2 == 0) & (F.col("quality") > 0))
+    known = known.orderBy(F.xxhash64(key), key).limit(most_labels).withColumn("fit", (F.xxhash64(F.lit(seed), key).bitwiseAND(1) == 0) & (F.col("quality") > 0))
     flagged = documents.select(key, F.col("text").cast("string").alias("text"), *(c for c in also if c != "text"))
     flagged = flagged.join(F.broadcast(known.withColumnsRenamed({"quality": "__quality", "fit": "__fit"})), key, "left")
     carried = (key, *also, "__quality", "__fit")
