@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from suffloom.llm.common import fresh_path, lower_words_of, table, text_batches, written
+from suffloom.llm.common import fresh_path, lower_words_of, release_memory, table, text_batches, written
 from suffloom.llm.language_id import held_out_share
 from suffloom.llm.store import ArrayStore
 
@@ -148,7 +148,7 @@ def pair_bucket(pairs: np.ndarray, starts: np.ndarray, hot: np.ndarray) -> np.nd
 class Numbers:
     """Words' numbers, kept in a bounded table. The begin's number is the vocabulary's size."""
 
-    def __init__(self, store: ArrayStore, starts: np.ndarray, most: int = 300_000):
+    def __init__(self, store: ArrayStore, starts: np.ndarray, most: int = 150_000):
         self.store, self.starts, self.most = store, starts, most
         self.known: dict[bytes, int] = {BEGIN: int(starts[-1])}
 
@@ -179,10 +179,12 @@ def count_words(train: DataFrame, store: ArrayStore, buckets: int, hot_count: in
             for text in b.column("text").to_pylist():
                 found.update(lower_words_of(text))
             found[END] += b.num_rows
-            if len(found) > 500_000:
+            if len(found) > 250_000:
                 yield flush()
+                release_memory()
         if found:
             yield flush()
+        release_memory()
 
     def reduce(key: tuple, part: pa.Table) -> pa.Table:
         k = key[0].as_py()
@@ -222,7 +224,7 @@ def count_pairs(train: DataFrame, store: ArrayStore, starts: np.ndarray, hot: np
             held.clear()
             return _out(_split(pairs, counts, pair_bucket(pairs, starts, hot)))
 
-        for b in text_batches(batches):
+        for b in text_batches(batches, 2 << 20):
             texts = [[BEGIN, *lower_words_of(x), END] for x in b.column("text").to_pylist()]
             ids = numbers.of(texts).astype(np.uint64)
             pairs = (ids[:-1] << _32) | ids[1:]
@@ -230,10 +232,13 @@ def count_pairs(train: DataFrame, store: ArrayStore, starts: np.ndarray, hot: np
             keep = np.ones(len(pairs), bool)
             keep[ends[:-1]] = False  # from one text's end to the next one's begin
             held.append(pairs[keep])
-            if sum(map(len, held)) > 4_000_000:
+            if sum(map(len, held)) > 2_000_000:
                 yield flush()
+                release_memory()
         if held:
             yield flush()
+        del numbers
+        release_memory()
 
     def reduce(key: tuple, part: pa.Table) -> pa.Table:
         k = key[0].as_py()
@@ -323,7 +328,7 @@ class Scorer:
 
     COLUMNS = 5  # number, count, unigram probability, the context's sum, its weight for the unigram
 
-    def __init__(self, model: Model, most: int = 300_000):
+    def __init__(self, model: Model, most: int = 150_000):
         self.m, self.most = model, most
         self.hot = np.array(sorted(model.hot), np.int64)
         w, d = model.words, model.distinct_continued
@@ -431,13 +436,14 @@ def score_documents(documents: DataFrame, key: str = "doc_id", folds: int = 7, f
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(model.value)
-        for b in text_batches(batches):
+        for b in text_batches(batches, 1 << 20):
             if not b.num_rows:
                 continue
             got = scorer.score(b.column("text").to_pylist())
             total = np.full(b.num_rows, scorer.m.tokens, np.int64)
             cols = [got["n_tokens"], got["n_known"], total, got["base_score"], got["score"], 10 ** (-got["score"] / got["n_tokens"])]
             yield pa.RecordBatch.from_arrays([b.column(key), b.column("held_out"), *map(pa.array, cols)], names=names)
+        release_memory()
 
     names = [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"]
     kind = documents.schema[key].dataType.simpleString()

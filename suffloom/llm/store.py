@@ -24,9 +24,10 @@ class ArrayStore:
     def __init__(self, uri: str):
         self.uri = uri.rstrip("/")
         self._copies: str | None = None
+        self._open: dict[tuple[str, str], np.ndarray] = {}
 
     def __getstate__(self) -> dict:
-        return {"uri": self.uri, "_copies": None}
+        return {"uri": self.uri, "_copies": None, "_open": {}}
 
     def put(self, name: str, values: np.ndarray) -> None:
         folder = local_path(self.uri)
@@ -44,7 +45,12 @@ class ArrayStore:
         os.replace(part, f"{folder}/{name}")
 
     def get(self, name: str, kind: str) -> np.ndarray:
-        """A read-only map of the file; an empty array for an empty file."""
+        """A read-only map of the file; an empty array for an empty file. Maps stay open: they take no memory of the worker's own."""
+        if (name, kind) not in self._open:
+            self._open[name, kind] = self._map(name, kind)
+        return self._open[name, kind]
+
+    def _map(self, name: str, kind: str) -> np.ndarray:
         folder = local_path(self.uri)
         if folder is None:
             path = self._copied(name)
@@ -52,7 +58,7 @@ class ArrayStore:
             path = f"{folder}/{name}"
         if os.path.getsize(path) == 0:
             return np.zeros(0, kind)
-        return np.memmap(path, kind, "r")
+        return np.memmap(path, kind, "r").view(np.ndarray)
 
     def _copied(self, name: str) -> str:
         from pyarrow import fs
