@@ -8,7 +8,7 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from urllib.parse import unquote, urlparse
 
 import numpy as np
@@ -100,8 +100,21 @@ def release_memory() -> None:
         pass
 
 
-def text_batches(batches: Iterable[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cuts Arrow batches into runs of rows with about `limit` bytes of buffers; a larger row stays alone."""
+_KEPT: dict[object, object] = {}
+
+
+def kept_in_worker(key: object, make: Callable[[], object]) -> object:
+    """What a worker keeps from task to task. One thing at a time: the next operator's takes the last one's place."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        release_memory()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def text_batches(batches: Iterable[pa.RecordBatch], limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Cuts Arrow batches into runs of rows with about `limit` bytes of text; a longer text stays alone.
+    After the last one, freed memory is handed back."""
     for b in batches:
         if b.num_rows <= 1 or b.nbytes <= limit:
             yield b
@@ -117,6 +130,7 @@ def text_batches(batches: Iterable[pa.RecordBatch], limit: int = 4 << 20) -> Ite
                 begin, size = i, 0
             size += n
         yield b.slice(begin)
+    release_memory()
 
 
 def vocabulary_path(name: str) -> str:

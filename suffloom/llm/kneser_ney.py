@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from suffloom.llm.common import fresh_path, lower_words_of, release_memory, table, text_batches, written
+from suffloom.llm.common import fresh_path, kept_in_worker, lower_words_of, release_memory, table, text_batches, written
 from suffloom.llm.language_id import held_out_share
 from suffloom.llm.store import ArrayStore
 
@@ -409,17 +409,6 @@ class Scorer:
         return {"n_tokens": n - 1, "n_known": add((now[:, 1] > 0).astype(np.int64)), "base_score": add(base), "score": add(prob)}
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
-def _scorer(model: Model) -> Scorer:
-    """One for each worker process and model."""
-    if model.store.uri not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[model.store.uri] = Scorer(model)
-    return _SCORERS[model.store.uri]
-
-
 def score_documents(documents: DataFrame, key: str = "doc_id", folds: int = 7, fold: int = 2, buckets: int | None = None) -> DataFrame:
     """One row per document: key, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
@@ -435,7 +424,7 @@ def score_documents(documents: DataFrame, key: str = "doc_id", folds: int = 7, f
     model = spark.sparkContext.broadcast(fit(source.where(~F.col("held_out")).select("text"), buckets))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(model.value)
+        scorer = kept_in_worker(name, lambda: Scorer(model.value))
         for b in text_batches(batches, 1 << 20):
             if not b.num_rows:
                 continue
@@ -443,8 +432,8 @@ def score_documents(documents: DataFrame, key: str = "doc_id", folds: int = 7, f
             total = np.full(b.num_rows, scorer.m.tokens, np.int64)
             cols = [got["n_tokens"], got["n_known"], total, got["base_score"], got["score"], 10 ** (-got["score"] / got["n_tokens"])]
             yield pa.RecordBatch.from_arrays([b.column(key), b.column("held_out"), *map(pa.array, cols)], names=names)
-        release_memory()
 
+    name = model.value.store.uri
     names = [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"]
     kind = documents.schema[key].dataType.simpleString()
     return source.mapInArrow(run, f"`{key}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double")

@@ -9,6 +9,7 @@ maximisation from word counts of a bounded sample of labelled rows.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from suffloom.llm.common import table, text_batches, vocabulary_path, written
+from suffloom.llm.common import kept_in_worker, table, text_batches, vocabulary_path, written
 
 _WORD = re.compile(r"[^\W\d_]+")
 _MARK = "▁"
@@ -150,7 +151,7 @@ class Model:
 class Scorer:
     """Sums words' log probabilities over texts; known words are kept in a bounded table."""
 
-    def __init__(self, model: Model, most: int = 300_000):
+    def __init__(self, model: Model, most: int = 200_000):
         self.model, self.lattice, self.most = model, Lattice(model.pieces), most
         self.row: dict[str, int] = {}
         self.rows = np.zeros((0, len(model.languages)))
@@ -230,7 +231,7 @@ def identify(documents: DataFrame, path: str, key: str = "doc_id", folds: int =
     model = spark.sparkContext.broadcast(learn_model(known.select(key_text(key).alias("doc_key"), "text", "lang"), path, **bounds))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(model)
+        scorer = kept_in_worker(name, lambda: Scorer(model.value))
         names = np.array([*scorer.model.languages, "und"], object)
         for b in text_batches(batches, 2 << 20):
             n, logs = scorer.texts(b.column(read).to_pylist())
@@ -242,23 +243,12 @@ def identify(documents: DataFrame, path: str, key: str = "doc_id", folds: int =
                 score[full] = 1 / np.exp(x - x.max(1, keepdims=True)).sum(1)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(names[pred], pa.string()), pa.array(score)], names=[*kept, "lang_pred", "score"])
 
+    name = ("language", uuid.uuid4().hex)
     kept, read = [key, *also, "held_out"], "text" if "text" in also else "__text"
     source = documents.select(key, *also, (held_out_share(key, folds) == fold).alias("held_out"), *([] if read == "text" else [F.col("text").cast("string").alias(read)]))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name in kept)
     return source.mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 
-_SCORERS: dict[int, Scorer] = {}
-
-
-def _scorer(model) -> Scorer:
-    """One for each worker process and broadcast."""
-    key = id(model.value)
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(model.value)
-    return _SCORERS[key]
-
-
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from suffloom.llm.common import table, text_batches, vocabulary_path
+from suffloom.llm.common import kept_in_worker, table, text_batches, vocabulary_path
 
 #: Before one of these a text may be cut if the sign in front is no white space.
 _SAFE = re.compile(r"(?<=\S)(?=[ \n\r\t])")
@@ -93,14 +93,10 @@ class UnitTable:
             self.known = dict(islice(self.known.items(), self.most // 2))
 
 
-_TABLES: dict[tuple, UnitTable] = {}
-
-
 def unit_table(path: str, kind: str) -> UnitTable:
     """One for each worker process: a later task finds it filled."""
-    if (path, kind) not in _TABLES:
-        _TABLES[path, kind] = UnitTable(path, len if kind == "lengths" else lambda ids: array("I", ids).tobytes())
-    return _TABLES[path, kind]
+    value = len if kind == "lengths" else lambda ids: array("I", ids).tobytes()
+    return kept_in_worker((path, kind), lambda: UnitTable(path, value))
 
 
 def each_text(known: UnitTable, texts: list[str | None]) -> Iterator[list[object]]:
