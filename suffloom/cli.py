@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from suffloom.functions.codecs import parse_size
 from suffloom.functions.strings import delete_byte
-from suffloom.operators.suffix_array import suffix_array
+from suffloom.operators.suffix_array import KERNEL_LIMIT, of_chunks, suffix_array
+from suffloom.sources.chunks import read_chunks
 from suffloom.sources.sa5 import write_sa5
 
 
@@ -25,11 +26,15 @@ def main(args: list[str] | None = None) -> int:
     parser.add_argument("--delete-byte", type=int, metavar="BYTE", help="write the file without this byte to standard output instead")
     options = parser.parse_args(args)
     spark = SparkSession.builder.appName("suffloom").getOrCreate()
-    texts = spark.read.format("binaryFile").load(options.file).select(F.lit(0).cast("long").alias("text_id"), F.col("content").alias("bytes"))
+    files = spark.read.format("binaryFile").load(options.file)
+    texts = files.select(F.lit(0).cast("long").alias("text_id"), F.col("content").alias("bytes"))
     if options.delete_byte is not None:
         sys.stdout.buffer.write(texts.select(delete_byte(F.col("bytes"), options.delete_byte).alias("b")).first()["b"])
         return 0
-    array = suffix_array(texts, options.strategy)
+    if options.strategy == "auto" and (files.agg(F.max("length")).first()[0] or 0) > KERNEL_LIMIT:
+        array = of_chunks(read_chunks(spark, options.file)).select("rank", "pos")
+    else:
+        array = suffix_array(texts, options.strategy)
     if options.verbose:
         array.explain("formatted")
     write_sa5(array, options.output or f"{options.file}.sa5", "overwrite" if options.force else "append")

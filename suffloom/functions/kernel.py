@@ -12,7 +12,7 @@ import numpy as np
 FIRST_SYMBOLS = 7
 
 
-def _first_keys(symbols: np.ndarray, left: np.ndarray) -> np.ndarray:
+def first_keys(symbols: np.ndarray, left: np.ndarray) -> np.ndarray:
     """The first symbols of each suffix as one number. left: bytes from there to its text's end."""
     n = len(symbols)
     key = np.zeros(n, np.int64)
@@ -40,7 +40,7 @@ def sort_suffixes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(len(texts)), sizes)
     ends = starts[1:][owner]
     place = np.arange(n, dtype=np.int64)
-    key = _first_keys(symbols, ends - place)
+    key = first_keys(symbols, ends - place)
     order = np.lexsort((key, owner))
     k, o = key[order], owner[order]
     first = np.concatenate([[True], (k[1:] != k[:-1]) | (o[1:] != o[:-1])])

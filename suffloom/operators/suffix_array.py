@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from suffloom.functions.kernel import FIRST_SYMBOLS, sort_suffixes
+from suffloom.functions.kernel import FIRST_SYMBOLS, first_keys, sort_suffixes
 from suffloom.operators.ranking import prefix_sums
 from suffloom.operators.shared import written
 from suffloom.shipping import ship
@@ -87,32 +87,56 @@ def by_windows(texts: DataFrame) -> DataFrame:
     return each.select("text_id", F.col("p").cast("long").alias("pos"), rank.alias("rank"), "n", byte(F.col("p") + 1).alias("sym"), prev.alias("prev"))
 
 
-def _first_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each suffix' first symbols as a number, a slice of a text at a time."""
-    from suffloom.functions.kernel import _first_keys as keys
+def _keyed(text_id: int, begin: int, n: int, body: bytes, before: int, after: bytes) -> Iterator[pa.RecordBatch]:
+    """Each suffix' first symbols as a number, for the suffixes that begin in a text's bytes from `begin` on."""
+    whole = np.frombuffer(body + after[:FIRST_SYMBOLS], np.uint8)
+    size = len(body)
+    for k in range(0, size, _ROWS):
+        end = min(size, k + _ROWS)
+        part = whole[k : end + FIRST_SYMBOLS]
+        pos = begin + np.arange(k, end)
+        key = first_keys(part, n - begin - k - np.arange(len(part)))[: end - k]
+        prev = np.empty(end - k, np.int32)
+        prev[0] = whole[k - 1] if k else before
+        prev[1:] = whole[k : end - 1]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(end - k, text_id, np.int64)), pa.array(pos), pa.array(key), pa.array(np.full(end - k, n, np.int64)), pa.array(whole[k:end].astype(np.int32)), pa.array(prev)], names=["text_id", "pos", "key", "n", "sym", "prev"])
 
+
+def _keys_of_texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i, t in zip(b.column("text_id").to_pylist(), b.column("bytes").to_pylist(), strict=True):
-            all_ = np.frombuffer(t, np.uint8)
-            n = len(all_)
-            for k in range(0, n, _ROWS):
-                end = min(n, k + _ROWS)
-                part = all_[k : min(n, end + FIRST_SYMBOLS)]
-                pos = np.arange(k, end)
-                key = keys(part, n - k - np.arange(len(part)))[: end - k]
-                prev = np.where(pos > 0, all_[pos - 1], 0).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(end - k, i, np.int64)), pa.array(pos), pa.array(key), pa.array(np.full(end - k, n, np.int64)), pa.array(all_[k:end].astype(np.int32)), pa.array(prev)], names=["text_id", "pos", "key", "n", "sym", "prev"])
+            yield from _keyed(i, 0, len(t), t, 0, b"")
+
+
+def _keys_of_chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for r in b.to_pylist():
+            yield from _keyed(r["text_id"], r["begin"], r["n"], r["bytes"], r["before"], r["after"])
+
+
+_KEYED = "text_id bigint, pos bigint, key bigint, n bigint, sym int, prev int"
 
 
 def by_doubling(texts: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Distributed prefix doubling: no task holds a text, however long its repeats.
+    """Distributed prefix doubling of texts that fit a row."""
+    ship(texts.sparkSession)
+    return _doubled(texts.select("text_id", "bytes").mapInArrow(_keys_of_texts, _KEYED), partitions)
+
+
+def of_chunks(chunks: DataFrame, partitions: int | None = None) -> DataFrame:
+    """The table of suffixes of texts that come as chunks (see sources.chunks): a text may be longer than a row or a task can be."""
+    ship(chunks.sparkSession)
+    return _doubled(chunks.mapInArrow(_keys_of_chunks, _KEYED), partitions)
+
+
+def _doubled(keyed: DataFrame, partitions: int | None) -> DataFrame:
+    """No task holds a text, however long its repeats.
 
     Ranks are counts of lesser keys, so that a key that many suffixes share is one row. Each
     round looks up the rank h further on, by a join on the position, and ranks anew only
     suffixes that still share theirs. Rounds: about log2 of the longest repeat over seven.
     """
-    ship(texts.sparkSession)
-    rows = written(texts.select("text_id", "bytes").mapInArrow(_first_keys, "text_id bigint, pos bigint, key bigint, n bigint, sym int, prev int"), "symbols")
+    rows = written(keyed, "symbols")
     counts = rows.groupBy("text_id", "key").agg(F.count("*").alias("count"))
     ranks = _within_text(prefix_sums(counts, ["text_id", "key"], "count", "before", partitions), partitions)
     state = written(rows.select("text_id", "pos", "key").join(ranks.select("text_id", "key", "rank", "count"), ["text_id", "key"]).select("text_id", "pos", "rank", (F.col("count") == 1).alias("done")), "ranks")

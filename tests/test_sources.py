@@ -7,7 +7,7 @@ import pytest
 from suffloom.functions.codecs import uint40_decode
 from suffloom.functions.kernel import suffix_array
 from suffloom.operators import suffix_array as sa
-from suffloom.sources import sa5
+from suffloom.sources import chunks, sa5
 from suffloom.streaming.incremental import index_stream
 
 TEXT = b"she sells sea shells by the sea shore\0\xff" * 5
@@ -40,6 +40,20 @@ def test_files_as_texts(spark, tmp_path):
     assert got == {0: TEXT, 1: b"xyx"}  # Spark leaves empty files out; they have no suffixes
 
 
+@pytest.mark.parametrize("size", [1, 7, 64, 1000])
+def test_chunked_files(spark, tmp_path, size):
+    (tmp_path / "in").mkdir()
+    texts = [TEXT[:50] if size == 1 else TEXT, b"banana" * 3, b"", b"\0"]
+    for i, t in enumerate(texts):
+        (tmp_path / "in" / f"f{i}").write_bytes(t)
+    got = {}
+    for r in sa.of_chunks(chunks.read_chunks(spark, str(tmp_path / "in"), size)).collect():
+        got.setdefault(r["text_id"], {})[r["rank"]] = (r["pos"], r["n"], r["sym"], r["prev"])
+    for i, t in enumerate(texts):
+        want = {k: (int(p), len(t), t[p], t[p - 1] if p else 0) for k, p in enumerate(suffix_array(t))}
+        assert got.get(i, {}) == want
+
+
 def test_stream(spark, tmp_path):
     df = spark.createDataFrame([(0, bytearray(TEXT)), (1, bytearray(b"abab"))], "text_id bigint, bytes binary")
     df.write.parquet(str(tmp_path / "in"))
