@@ -15,6 +15,7 @@ from suffloom.llm.packing import op7_packing
 from suffloom.llm.quality_rules import op3_quality_rules
 from suffloom.llm.simhash import op8_simhash_dedup
 from suffloom.llm.token_counts import op6_token_counts
+from suffloom.llm.url_filter import SQL as URL_SQL
 from suffloom.llm.url_filter import op10_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -30,4 +31,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filter": op10_url_filter,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_url_filter": URL_SQL}

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from suffloom.llm.common import lower_ascii, table, written
+from suffloom.llm.common import UPPER, lower_ascii, table, written
 
 #: (verdict, rule): a rule is a host and the path after it.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -103,7 +103,7 @@ def filter_urls(
     over its signs of the log ratio of both models, is under the threshold.
 
     Models: rejected URLs are those whose host holds one of `rejected_words`; accepted
-    ones hold none and aren't blocked by a rule. Four fifths of the URLs (by CRC-32)
+    ones hold none and aren't blocked by a rule. Four fifths of the URLs (by MD5)
     are counted, the rest calibrates: the threshold is where the share of accepted URLs
     kept plus the share of rejected URLs dropped is largest (amid the gap, where scores leave one).
 
@@ -123,7 +123,7 @@ def filter_urls(
         bad = bad | F.col("host").contains(w)
     seeds = df.select("url", "host", "path", "ruled", bad.alias("bad")).where((F.col("host") != "") & (F.col("bad") | F.col("ruled").isNull() | (F.col("ruled") == "allow")))
     seeds = _with_cells(seeds).select("url", (~F.col("bad")).alias("accepted"), "cells")
-    held_out = F.crc32(F.col("url").cast("binary")) % 5 == 0
+    held_out = F.conv(F.substring(F.md5(F.col("url").cast("binary")), 1, 4), 16, 10).cast("int") % 5 == 0
     ratios = _log_ratios(seeds.where(~held_out), strength)
     model = written(ratios.groupBy().agg(F.sort_array(F.collect_list(F.struct("cell", "ratio"))).alias("m")).select(F.col("m.ratio").alias("m")), "url-model")
 
@@ -150,4 +150,41 @@ def filter_urls(
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
-    return judged.select("page_id", "host", "path", "rule", "verdict", "score", "threshold")
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def _level(order: int, strength: float) -> str:
+    """One order's smoothed probabilities of both models, for each cell."""
+    size = 32 ** (order + 1)
+    below = f"JOIN p{order - 1} b ON b.cell = g.cell & {size // 32 - 1}" if order else ""
+    pa, pr = ("b.pa", "b.pr") if order else ("1 / 32", "1 / 32")
+    return f"""
+t{order} AS (SELECT cell & {size - 1} AS cell, sum(a) AS a, sum(r) AS r FROM counts GROUP BY ALL),
+c{order} AS (SELECT cell >> 5 AS context, sum(a) AS ta, sum(r) AS tr FROM t{order} GROUP BY ALL),
+p{order} AS (SELECT g.cell, (coalesce(a, 0) + {strength} * {pa}) / (coalesce(ta, 0) + {strength}) AS pa, (coalesce(r, 0) + {strength} * {pr}) / (coalesce(tr, 0) + {strength}) AS pr
+    FROM (SELECT unnest(range({size})) AS cell) g {below} LEFT JOIN t{order} t ON t.cell = g.cell LEFT JOIN c{order} c ON c.context = g.cell >> 5),"""
+
+
+def _rule_sql(column: int) -> str:
+    cases = []
+    for rule in sorted(RULES, key=lambda r: (len(r[1]), r[1]), reverse=True):
+        host, slash, path = rule[1].partition("/")
+        cases.append(f"WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{slash + path}') THEN '{rule[column]}'")
+    return f"CASE {' '.join(cases)} END"
+
+
+SQL = f"""WITH urls AS (SELECT row_number() OVER () AS row_id, page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (SELECT row_id, page_id, url, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{UPPER.lower()}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM urls),
+ruled AS (SELECT *, {_rule_sql(1)} AS rule, {_rule_sql(0)} AS says, regexp_matches(host, '{"|".join(REJECTED_WORDS)}') AS bad,
+    list_concat([0, 0, 0], [instr('{_SIGNS}', c) for c in string_split(translate(host || path, '{UPPER}123456789', '{UPPER.lower()}000000000'), '') if c <> ''], [0]) AS codes FROM parts),
+cells AS (SELECT row_id, unnest([codes[i] * 32768 + codes[i + 1] * 1024 + codes[i + 2] * 32 + codes[i + 3] for i in range(1, len(codes) - 2)]) AS cell FROM ruled),
+seeds AS (SELECT row_id, NOT bad AS accepted, CAST('0x' || substr(md5(url), 1, 4) AS INT) % 5 = 0 AS held FROM ruled WHERE host <> '' AND (bad OR says IS NULL OR says = 'allow')),
+counts AS (SELECT cell, CAST(sum(accepted::INT) AS DOUBLE) AS a, CAST(sum((NOT accepted)::INT) AS DOUBLE) AS r FROM seeds JOIN cells USING (row_id) WHERE NOT held GROUP BY ALL),
+{"".join(_level(k, 2.0) for k in range(_ORDER + 1))}
+scores AS (SELECT row_id, avg(CAST(CAST(ln(pa / pr) AS FLOAT) AS DOUBLE)) AS score FROM cells JOIN p{_ORDER} USING (cell) GROUP BY row_id),
+bins AS (SELECT CAST(least({_BINS - 1}, greatest(0, floor((score + 4) / 8 * {_BINS}))) AS INT) AS bin, CAST(sum(accepted::INT) AS BIGINT) AS a, CAST(sum((NOT accepted)::INT) AS BIGINT) AS r
+    FROM seeds JOIN scores USING (row_id) WHERE held GROUP BY ALL),
+worth AS (SELECT bin, (ta - ca) / ta + cr / tr AS worth, lead(bin) OVER (ORDER BY bin) AS following FROM
+    (SELECT bin, sum(a) OVER () AS ta, sum(r) OVER () AS tr, sum(a) OVER (ORDER BY bin) AS ca, sum(r) OVER (ORDER BY bin) AS cr FROM bins) WHERE ta > 0 AND tr > 0),
+cut AS (SELECT (bin + 1 + coalesce(following, bin + 1)) / 2 * 8 / {_BINS} - 4 AS threshold FROM worth WHERE worth = (SELECT max(worth) FROM worth) ORDER BY bin LIMIT 1)
+SELECT page_id, host, path, rule, coalesce(says, CASE WHEN score < (SELECT threshold FROM cut) THEN 'block' ELSE 'allow' END) AS verdict FROM ruled JOIN scores USING (row_id)"""
