@@ -34,11 +34,15 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements that end a block.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav noframes ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: What class, id or role says of an element outside the article.
-_BAD_NAME = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|aside|widget|ads?|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|comments?|commentlist|respond|replies|disqus|discussion|pagination|pager|toolbar|search|skip|hidden|complementary|contentinfo|form)(?:$|[\s_-])",
-    re.I,
+#: Parts of names in class, id or role that say that an element is outside the article.
+_BAD_PARTS = frozenset(
+    """nav navbar navigation menu menubar topbar breadcrumb breadcrumbs masthead footer sidebar rail aside widget ad ads advert adverts advertisement advertising adsbygoogle sponsor sponsored
+    taboola outbrain promo promotion banner cookie cookies consent gdpr notice alert toast popup modal dialog overlay newsletter subscribe subscription signup signin login register share sharing
+    social related recommended recommendations comment comments commentlist respond replies disqus discussion pagination pager toolbar search skip complementary contentinfo form copyright disclaimer""".split()
 )
+#: A header is outside the article if it's a page's: alone, or with one of these.
+_PAGE_PARTS = frozenset("site page main global top app web".split())
+_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 _ATTRS = re.compile(r"(?:^|[\s\"'])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/>]|$)", re.I)
 _MAIN = re.compile(r"<(article|main)[\s>/]", re.I)
@@ -54,19 +58,30 @@ class Block:
     label: str = ""
 
 
-def _set_apart(attrs: str, tag: str) -> bool:
+def _bad_name(value: str, inside: bool) -> bool:
+    for name in value.split():
+        parts = {x.lower() for x in _NAME.findall(name)}
+        if parts & _BAD_PARTS or name.lower() == "hidden":
+            return True
+        if "header" in parts and not inside and (len(parts) == 1 or parts & _PAGE_PARTS):
+            return True
+    return False
+
+
+def _set_apart(attrs: str, tag: str, inside: bool, names: bool) -> bool:
     for name, a, b, c in _ATTRS.findall(attrs):
         value = a or b or c
         name = name.lower()
-        if name in ("class", "id", "role") and tag not in ("article", "main", "body", "html") and _BAD_NAME.search(value):
+        if names and name in ("class", "id", "role") and tag not in ("article", "main", "body", "html") and _bad_name(value, inside):
             return True
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
             return True
     return False
 
 
-def blocks_of(page: str) -> list[Block]:
-    """Blocks in page order, without what is set apart. Tags need not be closed or well nested."""
+def blocks_of(page: str, names: bool = True) -> list[Block]:
+    """Blocks in page order, without what is set apart: by its element or, with `names`, by its class, id or
+    role. Tags need not be closed or well nested."""
     out: list[Block] = []
     parts: list[str] = []
     links: list[str] = []
@@ -148,7 +163,7 @@ def blocks_of(page: str) -> list[Block]:
             inside += 1
         elif tag in HEADINGS:
             heading = True
-        if apart_at < 0 and (tag in DROPPED and not (tag == "header" and inside) or (attrs and _set_apart(attrs, tag))):
+        if apart_at < 0 and (tag in DROPPED and not (tag == "header" and inside) or (attrs and _set_apart(attrs, tag, inside > 0, names))):
             apart_at = len(open_tags) - 1
     flush()
     return out
@@ -213,16 +228,21 @@ def main_text(page: str | None, max_link: float = 0.4, short: int = 70, stop_low
     """The article's blocks, joined by newlines; empty for a null or empty page.
 
     If the page marks an article or main element that holds text, blocks outside of it are
-    dropped and short blocks in it stay; else the two passes alone decide.
+    dropped and short blocks in it stay; else the two passes alone decide. Where names of
+    classes leave no text, they are taken to mean something else, and not looked at.
     """
     if not page:
         return ""
-    blocks = blocks_of(page)
-    if any(b.inside for b in blocks):
-        blocks = [b for b in blocks if b.inside]
-    classify(blocks, max_link, short, stop_low, stop_high)
-    inherit(blocks)
-    return "\n".join(b.text for b in blocks if b.label == GOOD)
+    for names in (True, False):
+        blocks = blocks_of(page, names)
+        if any(b.inside for b in blocks):
+            blocks = [b for b in blocks if b.inside]
+        classify(blocks, max_link, short, stop_low, stop_high)
+        inherit(blocks)
+        kept = [b.text for b in blocks if b.label == GOOD]
+        if kept:
+            return "\n".join(kept)
+    return ""
 
 
 def extract(pages: DataFrame, key: str = "page_id", also: tuple[str, ...] = ("url",), **rules: float) -> DataFrame:

@@ -24,6 +24,10 @@ def page(body, head=""):
         (f"<article><!-- <p>{FOREIGN}</p> --><p>a <i>b</i>c</p><p hidden>no</p><p style='display: none'>no</p></article>", "a bc"),
         ("<article><p>1 < 2 and 3 > 2</p><p>x<br>y</article>", "1 < 2 and 3 > 2\nx y"),
         (f"<article><p>{LONG}</p><p>cut off &am", f"{LONG}\ncut off &am"),
+        (f"<div class='siteHeader'>{LONG}</div><div class='post-header overflow-hidden'><h1>The title of it</h1></div><p>{LONG}</p><div class='userComments'>{FOREIGN}</div><div id=newsletter_box>{FOREIGN}</div>", f"The title of it\n{LONG}"),
+        (f"<div class='widget-area'><p>{LONG}</p></div>", LONG),
+        (f"<article><div class='article-header'><h1>Head</h1></div><p>{LONG}</p><div class='related-posts'><p>{LONG}</p></div></article>", f"Head\n{LONG}"),
+        (f"<div role='dialog'>{LONG}</div><div class='hidden'>{LONG}</div><p>{FOREIGN}</p><div class='comment-list'><div class='comment'>{LONG}</div></div>", FOREIGN),
         ("", ""),
     ],
 )
