@@ -17,12 +17,14 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from suffloom.llm.common import lower_words_of, table, text_batches, written
+from suffloom.llm.common import fresh_path, lower_words_of, table, text_batches, written
 from suffloom.llm.components import attach_components, connected_components
+from suffloom.llm.store import ArrayStore
 
 _CHUNK = 1 << 16
 
@@ -151,17 +153,56 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def without_keys(documents: DataFrame, keys: DataFrame, key: str, per_bucket: int = 1_000_000) -> DataFrame:
+    """documents without the rows whose key (an integer) is among keys. Rows without a key stay.
+
+    An anti-join would shuffle the texts. Instead the keys are written as sorted arrays to the
+    shared folder, in buckets whose number grows with theirs, and each task looks its rows up in
+    the mapped files.
+    """
+    spark = documents.sparkSession
+    store = ArrayStore(fresh_path(spark, "keys"))
+    n, buckets = keys.count(), 1
+    while buckets * per_bucket < n:
+        buckets *= 2
+
+    def put(group: tuple, rows: pa.Table) -> pa.Table:
+        store.put(f"{group[0].as_py()}.keys", np.unique(rows.column("k").to_numpy()).astype("<i8"))
+        return pa.table({"bucket": pa.array([group[0].as_py()], pa.int64())})
+
+    bucket = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(buckets))
+    there = keys.select(bucket.alias("bucket"), F.col(key).cast("long").alias("k")).groupBy("bucket").applyInArrow(put, "bucket bigint").collect()
+    full = frozenset(r["bucket"] for r in there)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            where = b.column("__bucket").to_numpy(zero_copy_only=False)
+            ids = pc.fill_null(b.column("__key"), 0).to_numpy(zero_copy_only=False)
+            drop = np.zeros(len(ids), bool)
+            for k in np.unique(where):
+                if k in full:
+                    at = np.flatnonzero(where == k)
+                    listed = store.get(f"{k}.keys", "<i8")
+                    i = np.minimum(np.searchsorted(listed, ids[at]), len(listed) - 1)
+                    drop[at] = listed[i] == ids[at]
+            keep = pc.or_(pa.array(~drop), pc.is_null(b.column("__key")))
+            yield b.select(kept).filter(keep)
+
+    kept = documents.columns
+    return documents.withColumns({"__bucket": bucket, "__key": F.col(key).cast("long")}).mapInArrow(run, documents.schema)
+
+
 def keep_one_each(documents: DataFrame, key: str = "doc_id", width: int = 3, bits: int = 2) -> DataFrame:
     """documents without near-duplicates: of each group the row with the smallest key stays.
 
     Of rows that repeat a key one stays, if it is the smallest of its group. Rows without a key
-    can't be named in a group, and stay. Columns are those of documents. Keys to drop are joined
-    against documents by the key, which few rows share.
+    can't be named in a group, and stay. Columns are those of documents. Texts aren't shuffled,
+    but for those whose key is repeated.
     """
     found = written(near_duplicates(documents, key, width, bits).where(F.col(key).isNotNull()).select(key, "component_id"), "groups")
-    stay = documents.join(found.where(F.col("component_id") != F.col(key)).select(key).distinct(), key, "left_anti")
+    stay = without_keys(documents, found.where(F.col("component_id") != F.col(key)).select(key).distinct(), key)
     repeated = found.where(F.col("component_id") == F.col(key)).groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)
     if repeated.isEmpty():
-        return stay.select(*documents.columns)
+        return stay
     again = written(repeated, "repeated")
-    return stay.join(again, key, "left_anti").select(*documents.columns).unionByName(stay.join(again, key, "left_semi").select(*documents.columns).dropDuplicates([key]))
+    return without_keys(stay, again, key).unionByName(stay.join(again, key, "left_semi").select(*documents.columns).dropDuplicates([key]))

@@ -120,6 +120,18 @@ def test_one_of_each_stays(documents, rows):
     assert keep_one_each(documents).columns == documents.columns
 
 
+@pytest.mark.parametrize("per_bucket", [2, 1000])
+def test_without_keys(spark, documents, per_bucket):
+    from suffloom.llm.simhash import without_keys
+
+    keys = spark.createDataFrame([(i,) for i in [5, 6, 7, 80, 999, -3, 5]], "doc_id bigint")
+    nulls = documents.unionByName(documents.limit(1).selectExpr("cast(null as bigint) doc_id", "text", "lang", "source", "n_chars"))
+    want = plain(nulls.where("doc_id is null or doc_id not in (5, 6, 7, 80)"), "doc_id", "text")
+    out = without_keys(nulls, keys, "doc_id", per_bucket)
+    assert plain(out, "doc_id", "text") == want and out.columns == documents.columns
+    assert without_keys(nulls, keys.limit(0), "doc_id").count() == nulls.count()
+
+
 def test_heavy_classes(spark):
     df = spark.createDataFrame([(i, "one text for all of them here") for i in range(300)] + [(300 + i, f"text {i} x y z") for i in range(50)], "doc_id bigint, text string")
     got = {r["doc_id"]: r["component_id"] for r in near_duplicates(df).collect()}
