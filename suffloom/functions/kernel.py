@@ -12,12 +12,12 @@ import numpy as np
 FIRST_SYMBOLS = 7
 
 
-def first_keys(symbols: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """The first symbols of each suffix as one number. left: bytes from there to its text's end."""
+def first_keys(symbols: np.ndarray, left: np.ndarray, count: int = FIRST_SYMBOLS) -> np.ndarray:
+    """The first `count` symbols of each suffix as one number. left: bytes from there to its text's end."""
     n = len(symbols)
     key = np.zeros(n, np.int64)
     shifted = symbols.astype(np.int64) + 1
-    for k in range(FIRST_SYMBOLS):
+    for k in range(count):
         key *= 257
         if k < n:
             part = key[: n - k]
@@ -25,44 +25,57 @@ def first_keys(symbols: np.ndarray, left: np.ndarray) -> np.ndarray:
     return key
 
 
+#: Texts that one sort takes: their number and a first key share 63 bits.
+MOST_TEXTS = 1 << 14
+_KERNEL_SYMBOLS = 6
+
+
 def sort_suffixes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(starts, order): for text i, order[starts[i]:starts[i+1]] are its suffixes' positions, least first.
 
     Prefix doubling. A group of suffixes that share their first h symbols is sorted by the
-    groups of the suffixes h further on; groups of one are done and not touched again.
+    groups of the suffixes h further on; groups of one are done and not touched again. Each sort
+    is over single numbers: text and first symbols, or group and following group.
     """
+    if len(texts) > MOST_TEXTS:
+        parts = [sort_suffixes(texts[k : k + MOST_TEXTS]) for k in range(0, len(texts), MOST_TEXTS)]
+        ends = np.cumsum([s[-1] for s, _ in parts])
+        starts = [parts[0][0], *(s[1:] + e for (s, _), e in zip(parts[1:], ends[:-1], strict=True))]
+        return np.concatenate(starts), np.concatenate([o for _, o in parts])
     sizes = np.array([len(t) for t in texts], np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes)])
     n = int(starts[-1])
     if not n:
         return starts, np.zeros(0, np.int64)
+    if n >= 1 << 31:
+        raise ValueError("a batch of texts must be shorter than 2 GiB")
     symbols = np.frombuffer(b"".join(texts), np.uint8)
     owner = np.repeat(np.arange(len(texts)), sizes)
     ends = starts[1:][owner]
     place = np.arange(n, dtype=np.int64)
-    key = first_keys(symbols, ends - place)
-    order = np.lexsort((key, owner))
-    k, o = key[order], owner[order]
-    first = np.concatenate([[True], (k[1:] != k[:-1]) | (o[1:] != o[:-1])])
+    key = first_keys(symbols, ends - place, _KERNEL_SYMBOLS)
+    key += owner * np.int64(257**_KERNEL_SYMBOLS)
+    order = np.argsort(key)
+    k = key[order]
+    first = np.concatenate([[True], k[1:] != k[:-1]])
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(first, place, 0))
     size_of = np.diff(np.append(np.flatnonzero(first), n))
     open_slots = np.flatnonzero(np.repeat(size_of > 1, size_of))
-    h = FIRST_SYMBOLS
+    h = _KERNEL_SYMBOLS
     while len(open_slots):
         at = order[open_slots]
         after = at + h
         inside = after < ends[at]
-        second = np.where(inside, rank[np.minimum(after, n - 1)] + 1, 0)
-        group = rank[at]
-        sub = np.lexsort((second, group))
-        at, group, second = at[sub], group[sub], second[sub]
+        key = np.where(inside, rank[np.minimum(after, n - 1)] + 1, 0)
+        key |= rank[at] << 32
+        sub = np.argsort(key)
+        at, key = at[sub], key[sub]
         order[open_slots] = at
-        new = np.concatenate([[True], (group[1:] != group[:-1]) | (second[1:] != second[:-1])])
+        new = np.concatenate([[True], key[1:] != key[:-1]])
         # A group's slots are consecutive, so a member's slot is its new rank if it begins a run.
         rank[at] = np.maximum.accumulate(np.where(new, open_slots, 0))
-        runs = np.flatnonzero(new)
-        size_of = np.diff(np.append(runs, len(at)))
+        size_of = np.diff(np.append(np.flatnonzero(new), len(at)))
         open_slots = open_slots[np.repeat(size_of > 1, size_of)]
         h *= 2
     return starts, order - starts[owner]

@@ -7,7 +7,7 @@ and prev (the byte before, 0 at pos 0). All other operators follow from these.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,28 +53,30 @@ def text_runs(batches: Iterable[pa.RecordBatch], limit: int = _BATCH) -> Iterato
         yield ids, texts
 
 
-def _sorted_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, texts in text_runs(batches):
-        starts, order = sort_suffixes(texts)
-        n = len(order)
-        sizes = np.diff(starts)
-        text = np.repeat(np.arange(len(texts)), sizes)
-        symbols = np.frombuffer(b"".join(texts), np.uint8)
-        at = starts[text] + order
-        sym = symbols[at].astype(np.int32)
-        prev = np.where(order > 0, symbols[at - 1], 0).astype(np.int32)
-        rank = np.arange(n) - starts[text]
-        text_id = np.array(ids, np.int64)[text]
-        length = sizes[text]
-        for k in range(0, n, _ROWS):
-            s = slice(k, k + _ROWS)
-            yield pa.RecordBatch.from_arrays([pa.array(x[s]) for x in (text_id, order, rank, length, sym, prev)], names=["text_id", "pos", "rank", "n", "sym", "prev"])
-
-
-def by_kernel(texts: DataFrame) -> DataFrame:
-    """Each text is sorted by one task. No shuffle."""
+def _sorted_rows(columns: list[str]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in text_runs(batches):
+            starts, order = sort_suffixes(texts)
+            n, sizes = len(order), np.diff(starts)
+            text = np.repeat(np.arange(len(texts)), sizes)
+            made = {"pos": lambda: order, "rank": lambda: np.arange(n) - starts[text], "text_id": lambda: np.array(ids, np.int64)[text], "n": lambda: sizes[text]}
+            if "sym" in columns or "prev" in columns:
+                symbols = np.frombuffer(b"".join(texts), np.uint8)
+                at = starts[text] + order
+                made |= {"sym": lambda: symbols[at].astype(np.int32), "prev": lambda: np.where(order > 0, symbols[at - 1], 0).astype(np.int32)}
+            whole = pa.RecordBatch.from_arrays([pa.array(made[c]()) for c in columns], names=columns)
+            for k in range(0, n, _ROWS):
+                yield whole.slice(k, _ROWS)
+
+    return run
+
+
+def by_kernel(texts: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Each text is sorted by one task. No shuffle. Only the columns asked for are made and sent."""
     ship(texts.sparkSession)
-    return texts.select("text_id", "bytes").mapInArrow(_sorted_rows, SCHEMA)
+    kinds = dict(x.split(" ") for x in SCHEMA.split(", "))
+    columns = columns or list(kinds)
+    return texts.select("text_id", "bytes").mapInArrow(_sorted_rows(columns), ", ".join(f"{c} {kinds[c]}" for c in columns))
 
 
 def by_windows(texts: DataFrame) -> DataFrame:
@@ -162,32 +164,33 @@ def _within_text(sums: DataFrame, partitions: int | None) -> DataFrame:
     return sums.join(base, "text_id").withColumn("rank", F.col("before") - F.col("base"))
 
 
-def suffixes(texts: DataFrame, strategy: str = "auto", partitions: int | None = None) -> DataFrame:
-    """The table that all operators start from. strategy: kernel, windows, doubling, or auto, which takes
+def suffixes(texts: DataFrame, strategy: str = "auto", partitions: int | None = None, columns: list[str] | None = None) -> DataFrame:
+    """The table that all operators start from, or those of its columns that are asked for. strategy: kernel, windows, doubling, or auto, which takes
     the kernel unless a text is longer than KERNEL_LIMIT bytes; then that text is doubled and the
     others still go to the kernel. Empty texts have no rows."""
+    columns = columns or [x.split(" ")[0] for x in SCHEMA.split(", ")]
     if strategy == "kernel":
-        return by_kernel(texts)
+        return by_kernel(texts, columns)
     if strategy == "windows":
-        return by_windows(texts)
+        return by_windows(texts).select(*columns)
     if strategy == "doubling":
-        return by_doubling(texts, partitions)
+        return by_doubling(texts, partitions).select(*columns)
     if strategy != "auto":
         raise ValueError(f"no such strategy: {strategy}")
     size = F.octet_length("bytes")
     if (texts.agg(F.max(size)).first()[0] or 0) <= KERNEL_LIMIT:
-        return by_kernel(texts)
-    return by_kernel(texts.where(size <= KERNEL_LIMIT)).unionByName(by_doubling(texts.where(size > KERNEL_LIMIT), partitions))
+        return by_kernel(texts, columns)
+    return by_kernel(texts.where(size <= KERNEL_LIMIT), columns).unionByName(by_doubling(texts.where(size > KERNEL_LIMIT), partitions).select(*columns))
 
 
 def suffix_array(texts: DataFrame, strategy: str = "auto") -> DataFrame:
     """(text_id, rank, pos)"""
-    return suffixes(texts, strategy).select("text_id", "rank", "pos")
+    return suffixes(texts, strategy, columns=["text_id", "rank", "pos"])
 
 
 def inverse_suffix_array(texts: DataFrame, strategy: str = "auto") -> DataFrame:
     """(text_id, pos, rank)"""
-    return suffixes(texts, strategy).select("text_id", "pos", "rank")
+    return suffixes(texts, strategy, columns=["text_id", "pos", "rank"])
 
 
 def sampled(suf: DataFrame, every: int) -> DataFrame:
