@@ -8,6 +8,7 @@ and prev (the byte before, 0 at pos 0). All other operators follow from these.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from suffloom.operators.shared import written
 from suffloom.shipping import ship
 
 #: Longer texts aren't sorted by one task.
-KERNEL_LIMIT = 16 << 20
+KERNEL_LIMIT = 8 << 20
 SCHEMA = "text_id bigint, pos bigint, rank bigint, n bigint, sym int, prev int"
 _BATCH, _ROWS = 2 << 20, 1 << 18
 
@@ -141,19 +142,25 @@ def _doubled(keyed: DataFrame, partitions: int | None) -> DataFrame:
     rows = written(keyed, "symbols")
     counts = rows.groupBy("text_id", "key").agg(F.count("*").alias("count"))
     ranks = _within_text(prefix_sums(counts, ["text_id", "key"], "count", "before", partitions), partitions)
-    state = written(rows.select("text_id", "pos", "key").join(ranks.select("text_id", "key", "rank", "count"), ["text_id", "key"]).select("text_id", "pos", "rank", (F.col("count") == 1).alias("done")), "ranks")
+    ranked = rows.select("text_id", "pos", "n", "key").join(ranks.select("text_id", "key", "rank", "count"), ["text_id", "key"])
+    state = written(ranked.select("text_id", "pos", "n", "rank", (F.col("count") == 1).alias("done")), "ranks")
+    fixed, open_ = [state.where("done")], state.where("NOT done")
     h = FIRST_SYMBOLS
-    while not state.where("NOT done").isEmpty():
-        after = state.select("text_id", (F.col("pos") - h).alias("pos"), (F.col("rank") + 1).alias("second"))
-        open_ = state.where("NOT done").join(after, ["text_id", "pos"], "left").select("text_id", "pos", "rank", F.coalesce("second", F.lit(0).cast("long")).alias("second"))
-        open_ = written(open_, "open")
+    while not open_.isEmpty():
+        # Inner, and keyed on the open rows' side: when few are left, they are broadcast and the rest isn't shuffled.
+        found = reduce(DataFrame.unionByName, [*fixed, open_]).select("text_id", F.col("pos").alias("after"), (F.col("rank") + 1).alias("second"))
+        ahead = open_.where(F.col("pos") + h < F.col("n")).withColumn("after", F.col("pos") + h).join(found, ["text_id", "after"]).drop("after")
+        last = open_.where(F.col("pos") + h >= F.col("n")).withColumn("second", F.lit(0).cast("long"))
+        keyed_again = written(ahead.unionByName(last).drop("done"), "open")
         group = ["text_id", "rank"]
-        sums = written(prefix_sums(open_.groupBy(*group, "second").agg(F.count("*").alias("count")), [*group, "second"], "count", "before", partitions), "sums")
+        sums = written(prefix_sums(keyed_again.groupBy(*group, "second").agg(F.count("*").alias("count")), [*group, "second"], "count", "before", partitions), "sums")
         base = sums.groupBy(*group).agg(F.min("before").alias("base"))
         new = sums.join(base, group).select(*group, "second", (F.col("rank") + F.col("before") - F.col("base")).alias("new"), (F.col("count") == 1).alias("done"))
-        moved = open_.join(new, [*group, "second"]).select("text_id", "pos", F.col("new").alias("rank"), "done")
-        state = written(state.where("done").unionByName(moved), "ranks")
+        moved = written(keyed_again.join(new, [*group, "second"]).select("text_id", "pos", "n", F.col("new").alias("rank"), "done"), "ranks")
+        fixed.append(moved.where("done"))
+        open_ = moved.where("NOT done")
         h *= 2
+    state = reduce(DataFrame.unionByName, fixed)
     return state.select("text_id", "pos", "rank").join(rows.drop("key"), ["text_id", "pos"]).select("text_id", "pos", "rank", "n", "sym", "prev")
 
 
