@@ -88,14 +88,19 @@ def suffix_array(text: bytes) -> np.ndarray:
 def interval(text: bytes, order: np.ndarray, pattern: bytes) -> tuple[int, int]:
     """The half-open run of slots whose suffixes begin with the pattern; if there is none, both ends
     are the slot of the first greater suffix."""
-    m = len(pattern)
+    return refine(text, order, 0, len(order), 0, pattern)
+
+
+def refine(text: bytes, order: np.ndarray, lo: int, hi: int, known: int, pattern: bytes) -> tuple[int, int]:
+    """The run of a pattern within the run [lo, hi) of its first `known` bytes; those aren't compared again."""
+    rest = pattern[known:]
 
     def first_slot(after: bool) -> int:
-        low, high = 0, len(order)
+        low, high = lo, hi
         while low < high:
             mid = (low + high) // 2
-            head = text[order[mid] : order[mid] + m]
-            if head < pattern or (after and head == pattern):
+            head = text[order[mid] + known : order[mid] + len(pattern)]
+            if head < rest or (after and head == rest):
                 low = mid + 1
             else:
                 high = mid

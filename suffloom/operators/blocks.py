@@ -68,6 +68,12 @@ def slots(suf: DataFrame, block: Column, tail: Column, large: bool = False) -> D
     return rows.where("in_tail").select("text_id", "pos", "slot")
 
 
+def initial_ranks(suf: DataFrame, block: Column, tail: Column, every: int, large: bool = False) -> DataFrame:
+    """(text_id, pos, slot) at each `every`-th position of the tail: where a scan of the tail can set in, with the
+    number of the block's suffixes that are less."""
+    return slots(suf, block, tail, large).where(F.col("pos") % every == 0)
+
+
 def gap(suf: DataFrame, block: Column, tail: Column, large: bool = False) -> DataFrame:
     """(text_id, slot, cnt): how many tail suffixes fall in front of the block's suffix number `slot`. Slots without any have no row."""
     return slots(suf, block, tail, large).groupBy("text_id", "slot").agg(F.count("*").alias("cnt"))
@@ -79,6 +85,12 @@ def dense_gap(gaps: DataFrame, sizes: DataFrame) -> DataFrame:
     return every.join(gaps, ["text_id", "slot"], "left").select("text_id", "slot", F.coalesce("cnt", F.lit(0).cast("long")).alias("cnt"))
 
 
+def gap_chunks(dense: DataFrame, size: int, large: bool = False) -> DataFrame:
+    """(text_id, chunk, total, before): a dense gap's sums over runs of `size` slots, and over all runs before."""
+    sums = dense.groupBy("text_id", F.floor(F.col("slot") / size).alias("chunk")).agg(F.sum("cnt").alias("total"))
+    return running(sums, ["text_id"], "chunk", F.col("total"), "before", large)
+
+
 def zone_sizes(suf: DataFrame, where: Column) -> DataFrame:
     """(text_id, size), with 0 for texts that have nothing there."""
     return suf.groupBy("text_id").agg(F.sum(where.cast("long")).alias("size"))

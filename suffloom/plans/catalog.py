@@ -277,6 +277,11 @@ def gap_right(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.gap(part_suffixes(spark, sf_dir), blocks.zone(3, 1), blocks.zone(3, 2))
 
 
+@_query(_PART + "SELECT t.text_id, t.pos, count(b.pos) AS slot FROM isa t LEFT JOIN isa b ON b.text_id = t.text_id AND b.pos < b.n // 2 AND b.suffix < t.suffix WHERE t.pos >= t.n // 2 AND t.pos % 3 = 0 GROUP BY ALL")
+def initial_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.initial_ranks(part_suffixes(spark, sf_dir), blocks.zone(2, 0), blocks.zone(2, 1), 3)
+
+
 _BITS = ", bits AS (SELECT text_id, rank AS i, pos >= n // 2 AS bit FROM isa)"
 
 
@@ -322,6 +327,16 @@ _DENSE_SQL = (
 )
 
 
+@_query(
+    _PART
+    + _DENSE_SQL
+    + """SELECT text_id, chunk, total, CAST(coalesce(sum(total) OVER (PARTITION BY text_id ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
+    FROM (SELECT text_id, slot // 2 AS chunk, CAST(sum(cnt) AS BIGINT) AS total FROM dense GROUP BY ALL)"""
+)
+def gap_chunk_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.gap_chunks(_dense(spark, sf_dir), 2)
+
+
 @_query(_PART + _DENSE_SQL + ", cum AS (SELECT *, CAST(sum(cnt) OVER (PARTITION BY text_id ORDER BY slot) AS BIGINT) AS total FROM dense) SELECT isa.text_id, isa.pos AS a, min(slot) AS j, min(total) AS total FROM isa JOIN cum ON cum.text_id = isa.text_id AND cum.slot + cum.total >= isa.pos GROUP BY ALL")
 def gap_prefix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = part_suffixes(spark, sf_dir).select("text_id", F.col("pos").alias("a"))

@@ -64,6 +64,17 @@ def test_interval(text, pattern):
     assert lo == sum(text[p:][: len(pattern)] < pattern for p in range(len(text)))
 
 
+@settings(max_examples=200, deadline=None)
+@given(small, small, st.integers(0, 5))
+def test_refining_an_interval(text, pattern, known):
+    order = kernel.suffix_array(text)
+    known = min(known, len(pattern))
+    lo, hi = kernel.interval(text, order, pattern[:known])
+    want = kernel.interval(text, order, pattern)
+    got = kernel.refine(text, order, lo, hi, known, pattern)
+    assert got == want if lo < hi else got == (lo, lo)
+
+
 @settings(max_examples=200, deadline=None)
 @given(small.filter(len))
 def test_maximal_suffix(text):
@@ -79,3 +90,11 @@ def test_merge_schedule_is_cheapest():
 
     assert [c for _, _, c in strings.merge_schedule(8)] == [cost(n) for n in range(1, 9)]
     assert all(left <= 2 for _, left, _ in strings.merge_schedule(9, most_left=2))
+
+
+def test_more_texts_than_a_sort_takes(monkeypatch):
+    monkeypatch.setattr(kernel, "MOST_TEXTS", 3)
+    texts = [b"ab" * (i % 4) + bytes([97 + i]) for i in range(11)]
+    starts, order = kernel.sort_suffixes(texts)
+    for i, t in enumerate(texts):
+        assert order[starts[i] : starts[i + 1]].tolist() == naive(t)

@@ -155,3 +155,13 @@ def test_patterns_must_be_small(spark, texts, monkeypatch):
     monkeypatch.setattr(search, "MOST_PATTERN_BYTES", 2)
     with pytest.raises(ValueError):
         search.pattern_ranges(texts, spark.createDataFrame([(0, bytearray(b"abc"))], "pat_id int, pat binary"))
+
+
+def test_random_texts(spark):
+    from suffloom.functions.generate import random_texts
+
+    df = random_texts(spark, 5, 40, b"ab\xff", 3)
+    got = [bytes(r["bytes"]) for r in df.orderBy("text_id").collect()]
+    assert len(set(got)) == 5 and all(len(t) == 40 and set(t) <= set(b"ab\xff") for t in got)
+    assert got == [bytes(r["bytes"]) for r in random_texts(spark, 5, 40, b"ab\xff", 3).orderBy("text_id").collect()]
+    assert rows(sa.suffix_array(df), "text_id", "rank", "pos") == [(i, r, p) for i, t in enumerate(got) for r, p in enumerate(naive(t))]
