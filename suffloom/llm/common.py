@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import os
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 from urllib.parse import unquote, urlparse
 
@@ -17,11 +13,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from suffloom.operators.shared import fresh_path
 from suffloom.shipping import ship
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: What a word may not hold: the space and the five controls from tab to carriage return.
-WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,36 +29,6 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh one where that is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    set_already = spark.sparkContext.getCheckpointDir()
-    if set_already:
-        return set_already.rstrip("/")
-    own = tempfile.mkdtemp(prefix="suffloom-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.sparkContext.setCheckpointDir(own)
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session has ended: the shared folder's owner clears what is left
-        pass
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder; it goes when the driver's process ends."""
-    path = f"{shared_dir(spark)}/suffloom-{name}-{uuid.uuid4().hex}"
-    atexit.register(_drop, spark, path)
-    return path
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts lineage, and executors may be lost afterwards."""
     spark = df.sparkSession
@@ -79,15 +44,11 @@ def local_path(uri: str) -> str | None:
     return unquote(u.path) if u.scheme in ("", "file") else None
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words of a text as UTF-8; bytes.split() cuts at exactly the space and the controls 9 to 13."""
-    return text.encode("utf-8", "surrogatepass").split() if text else []
-
-
 _LOWER = bytes(range(256)).lower()
 
 
 def lower_words_of(text: str | None) -> list[bytes]:
+    """Words of a text as UTF-8, A-Z in lower case; bytes.split() cuts at exactly the space and the controls 9 to 13."""
     return text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
 
 
