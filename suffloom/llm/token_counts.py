@@ -11,8 +11,8 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Callable, Iterable, Iterator
-from itertools import chain, islice
+from collections.abc import Iterable, Iterator
+from itertools import chain, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -60,15 +60,26 @@ def safe_pieces(text: str, limit: int = LONG_TEXT) -> Iterator[str]:
 class UnitTable:
     """Answers units from a bounded table; encodes those it doesn't hold, a batch at a time."""
 
-    def __init__(self, path: str, value: Callable[[list[int]], object], most: int = 700_000):
+    def __init__(self, path: str, lengths: bool, most: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.value, self.most, self.known = value, most, {}
-        self.marks = {x: value(self.tokenizer.encode(x, add_special_tokens=False).ids) for x in ".,;:!?"}
+        self.lengths, self.most, self.known = lengths, most, {}
+        self.marks = {x: self.value(self.tokenizer.encode(x, add_special_tokens=False).ids) for x in ".,;:!?"}
+
+    def value(self, ids: list[int]) -> object:
+        """What is kept of a unit: how many tokens, or their ids as 32-bit numbers."""
+        return len(ids) if self.lengths else array("I", ids).tobytes()
+
+    def values(self, ids: list[int], cuts: list[int]) -> list[object]:
+        """The same for units that follow each other."""
+        if self.lengths:
+            return [b - a for a, b in pairwise(cuts)]
+        raw = array("I", ids).tobytes()
+        return [raw[4 * a : 4 * b] for a, b in pairwise(cuts)]
 
     def learn(self, names: set[str]) -> None:
         """Encodes the units that aren't known. Letters and one mark behind them are two pieces to
@@ -77,6 +88,20 @@ class UnitTable:
         marked = [x for x in new if x[-1:] in self.marks and x[:-1].lstrip("\0\x01").isalpha()]
         new.difference_update(marked)
         new.update(x[:-1] for x in marked if x[:-1] not in self.known)
+        # A space and letters are one piece to the pre-tokenizer: many such units go in one string, and the
+        # library tells which piece a token is of. Short strings, as its work on one grows faster than its length.
+        words = [x for x in new if x.isalpha()]
+        new.difference_update(words)
+        chunks = [words[k : k + 500] for k in range(0, len(words), 500)]
+        for begin in range(0, len(chunks), 20):
+            some = chunks[begin : begin + 20]
+            for names_, e in zip(some, self.tokenizer.encode_batch([" " + " ".join(c) for c in some], add_special_tokens=False), strict=True):
+                ids, piece = e.ids, np.array(e.word_ids, np.int64)
+                cuts = [0, *(np.flatnonzero(piece[1:] != piece[:-1]) + 1).tolist(), len(ids)]
+                if len(cuts) - 1 != len(names_):
+                    new.update(names_)
+                    continue
+                self.known.update(zip(names_, self.values(ids, cuts), strict=True))
         new = list(new)
         for begin in range(0, len(new), 4096):
             some = new[begin : begin + 4096]
@@ -95,8 +120,7 @@ class UnitTable:
 
 def unit_table(path: str, kind: str) -> UnitTable:
     """One for each worker process: a later task finds it filled."""
-    value = len if kind == "lengths" else lambda ids: array("I", ids).tobytes()
-    return kept_in_worker((path, kind), lambda: UnitTable(path, value))
+    return kept_in_worker((path, kind), lambda: UnitTable(path, kind == "lengths"))
 
 
 def each_text(known: UnitTable, texts: list[str | None]) -> Iterator[list[object]]:

@@ -32,6 +32,19 @@ def test_units_give_the_library_s_tokens():
         assert np.frombuffer(b"".join(values), "<u4").tolist() == ids(t), repr(t)
 
 
+def test_many_words_in_a_string():
+    rnd = random.Random(8)
+    letters = "abcdeéßñ日本ªʰǅ"
+    words = list({"".join(rnd.choice(letters) for _ in range(rnd.randint(1, 9))) for _ in range(3000)})
+    text = "x " + " ".join(words)
+    for kind in ("ids", "lengths"):
+        known = token_counts.UnitTable(PATH, kind == "lengths")
+        (values,) = each_text(known, [text])
+        assert (sum(values) if kind == "lengths" else np.frombuffer(b"".join(values), "<u4").tolist()) == (len(ids(text)) if kind == "lengths" else ids(text))
+        for w, v in zip(words, values[1:]):
+            assert (v if kind == "lengths" else len(v) // 4) == len(ids(" " + w))
+
+
 def test_safe_pieces():
     for t in strings(500):
         parts = list(safe_pieces(t, 3))
@@ -42,7 +55,7 @@ def test_safe_pieces():
 def test_long_texts_and_full_tables(monkeypatch):
     monkeypatch.setattr(token_counts, "LONG_TEXT", 50)
     monkeypatch.setattr(token_counts, "LONG_UNIT", 5)
-    known = token_counts.UnitTable(PATH, len, most=20)
+    known = token_counts.UnitTable(PATH, True, most=20)
     texts = strings(800)
     for t, values in zip(texts, each_text(known, texts)):
         assert sum(values) == len(ids(t))
