@@ -60,7 +60,7 @@ def safe_pieces(text: str, limit: int = LONG_TEXT) -> Iterator[str]:
 class UnitTable:
     """Answers units from a bounded table; encodes those it doesn't hold, a batch at a time."""
 
-    def __init__(self, path: str, lengths: bool, most: int = 700_000):
+    def __init__(self, path: str, lengths: bool, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -142,13 +142,19 @@ def each_text(known: UnitTable, texts: list[str | None]) -> Iterator[list[object
 
 
 def _values(known: UnitTable, held: list[list[str]]) -> Iterator[list[object]]:
-    seen = set(chain.from_iterable(held))
-    long = [x for x in seen if len(x) > LONG_UNIT]
-    known.learn(seen)
-    find = known.known.__getitem__
+    names = list(chain.from_iterable(held))
+    found = list(map(known.known.get, names))
+    missing = [i for i, v in enumerate(found) if v is None]
+    if missing:
+        new = {names[i] for i in missing}
+        known.learn(new)
+        for i in missing:
+            found[i] = known.known[names[i]]
+        known.trim([x for x in new if len(x) > LONG_UNIT])
+    begin = 0
     for parts in held:
-        yield list(map(find, parts))
-    known.trim(long)
+        yield found[begin : begin + len(parts)]
+        begin += len(parts)
 
 
 def count_tokens(documents: DataFrame, path: str, key: str = "doc_id", limit: int = 512) -> DataFrame:
