@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from suffloom.functions.kernel import interval, sort_suffixes
-from suffloom.operators.suffix_array import text_runs
+from suffloom.operators.suffix_array import spread, text_runs
 from suffloom.shipping import ship
 
 MOST_PATTERN_BYTES = 8 << 20
@@ -43,7 +43,7 @@ def pattern_ranges(texts: DataFrame, patterns: DataFrame, found_only: bool = Fal
             cols = list(zip(*rows, strict=True)) if rows else [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], names=["text_id", "pat_id", "lo", "hi"])
 
-    return texts.select("text_id", "bytes").mapInArrow(run, "text_id bigint, pat_id int, lo bigint, hi bigint")
+    return spread(texts).select("text_id", "bytes").mapInArrow(run, "text_id bigint, pat_id int, lo bigint, hi bigint")
 
 
 def pattern_counts(texts: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -67,7 +67,7 @@ def pattern_positions(texts: DataFrame, patterns: DataFrame) -> DataFrame:
                         lo, hi = interval(t, sa, pat)
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(hi - lo, ids[i], np.int64)), pa.array(np.full(hi - lo, pat_id, np.int32)), pa.array(sa[lo:hi])], names=["text_id", "pat_id", "pos"])
 
-    return texts.select("text_id", "bytes").mapInArrow(run, "text_id bigint, pat_id int, pos bigint")
+    return spread(texts).select("text_id", "bytes").mapInArrow(run, "text_id bigint, pat_id int, pos bigint")
 
 
 def pattern_range_of_rows(suf: DataFrame, texts: DataFrame, pattern: bytes) -> DataFrame:

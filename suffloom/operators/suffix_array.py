@@ -26,6 +26,16 @@ SCHEMA = "text_id bigint, pos bigint, rank bigint, n bigint, sym int, prev int"
 _BATCH, _ROWS = 2 << 20, 1 << 18
 
 
+def spread(texts: DataFrame, total: int | None = None) -> DataFrame:
+    """texts over all cores, if they are few bytes: a small table may lie in one row group, which one task
+    reads, and suffix sorting costs far more than moving it. Larger tables keep their scan's partitions."""
+    if total is None:
+        total = texts.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    parts = min(2 * cores, total // (256 << 10))
+    return texts.repartition(parts, "text_id") if 1 < parts and total < cores * (32 << 20) else texts
+
+
 def texts_of(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """(text_id, bytes) of a table; null texts have no suffixes and are left out."""
     return df.where(F.col(text_column).isNotNull()).select(F.col(id_column).cast("long").alias("text_id"), F.col(text_column).cast("binary").alias("bytes"))
@@ -185,7 +195,9 @@ def suffixes(texts: DataFrame, strategy: str = "auto", partitions: int | None =
     if strategy != "auto":
         raise ValueError(f"no such strategy: {strategy}")
     size = F.octet_length("bytes")
-    if (texts.agg(F.max(size)).first()[0] or 0) <= KERNEL_LIMIT:
+    longest, total = texts.agg(F.max(size), F.sum(size)).first()
+    texts = spread(texts, total or 0)
+    if (longest or 0) <= KERNEL_LIMIT:
         return by_kernel(texts, columns)
     return by_kernel(texts.where(size <= KERNEL_LIMIT), columns).unionByName(by_doubling(texts.where(size > KERNEL_LIMIT), partitions).select(*columns))
 
