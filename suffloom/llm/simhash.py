@@ -11,7 +11,7 @@ member instead of a square.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import partial
 from itertools import accumulate
 
@@ -137,8 +137,13 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", width: int = 3, b
     columns are ignored. Keys and fingerprints, not texts, are written to the shared folder.
     """
     rows = written(fingerprints(documents, key, width), "fingerprints")
+    return component_rows(rows, key, lambda nodes: links(nodes, bits))
+
+
+def component_rows(rows: DataFrame, key: str, edges: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """key, fp and component_id for rows of key and fp. edges gives the links (a, b) between the distinct fp."""
     nodes = written(rows.groupBy("fp").agg(F.min(key).alias("low"), F.count("*").alias("n")), "nodes")
-    groups = connected_components(links(nodes.select("fp"), bits)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
+    groups = connected_components(edges(nodes.select("fp"))).select(F.col("node").alias("fp"), F.col("component").alias("root"))
     rooted = groups.join(nodes, "fp")
     low = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     linked = rooted.join(low, "root").select("fp", "component_id", "n")
@@ -199,7 +204,12 @@ def keep_one_each(documents: DataFrame, key: str = "doc_id", width: int = 3, bit
     can't be named in a group, and stay. Columns are those of documents. Texts aren't shuffled,
     but for those whose key is repeated.
     """
-    found = written(near_duplicates(documents, key, width, bits).where(F.col(key).isNotNull()).select(key, "component_id"), "groups")
+    return keep_smallest(documents, near_duplicates(documents, key, width, bits), key)
+
+
+def keep_smallest(documents: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """Of each group (key, component_id) the row of documents with the smallest key; see keep_one_each."""
+    found = written(groups.where(F.col(key).isNotNull()).select(key, "component_id"), "groups")
     stay = without_keys(documents, found.where(F.col("component_id") != F.col(key)).select(key).distinct(), key)
     repeated = found.where(F.col("component_id") == F.col(key)).groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)
     if repeated.isEmpty():
