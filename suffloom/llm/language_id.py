@@ -111,12 +111,17 @@ def learn(lattice: Lattice, counts: Counter, n_pieces: int, rounds: int = 3, smo
     """Piece probabilities of one language from its words' counts, by expectation-maximisation.
 
     It starts from how often each piece occurs as a substring. `smooth` is added to each piece's count.
+    Long words are cut into parts as for scoring; each part counts as often as its word.
     """
+    parts: Counter = Counter()
+    for w, n in counts.items():
+        for k in range(0, len(w) + 1, _PART):
+            parts[(_MARK + w)[k : k + _PART]] += n
     probs = np.full(n_pieces + 1, 1.0)
     for turn in range(rounds + 1):
         total = np.zeros(n_pieces + 1)
-        for words in _by_length((_MARK + w)[:_PART] for w in counts).values():
-            weight = np.array([counts[w[1:]] for w in words], float)
+        for words in _by_length(parts).values():
+            weight = np.array([parts[w] for w in words], float)
             arcs = list(lattice.arcs(words))
             if turn == 0:
                 for _, _, piece in arcs:

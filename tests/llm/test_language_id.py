@@ -87,3 +87,12 @@ def test_edges(documents, empty, clashing):
     none = identify(documents.withColumn("lang", F.lit(None).cast("string")), PATH)
     assert {r["lang_pred"] for r in none.collect()} == {"und"}
     assert identify(documents, PATH, also=("text", "source")).columns == ["doc_id", "text", "source", "held_out", "lang_pred", "score"]
+
+
+def test_long_words_are_learned_from():
+    from collections import Counter
+
+    pieces = ["▁", "a", "b", "c", "d"]
+    long = "ab" * 20 + "cd" * 20
+    probs = dict(zip(pieces, learn(Lattice(pieces), Counter({long: 5}), len(pieces)), strict=True))
+    assert np.allclose([probs[x] for x in "abcd"], 20 / 81, rtol=0.01) and np.isclose(probs["▁"], 1 / 81, rtol=0.1)
