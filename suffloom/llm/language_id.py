@@ -182,10 +182,13 @@ class Scorer:
 
 
 def learn_model(documents: DataFrame, path: str, per_language: int = 1500, words_per_language: int = 20_000, most_languages: int = 200) -> Model:
-    """Learns from rows of (doc_key, text, lang): about `per_language` rows of each of the
-    `most_languages` commonest languages, chosen by a hash, and of their words the commonest
-    `words_per_language`. These bounds make the fit's size independent of the input's."""
-    sizes = documents.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    """Learns from rows of (doc_key, text, lang): about `per_language` rows of each language, chosen
+    by a hash, and of their words the commonest `words_per_language`. These bounds make the fit's
+    size independent of the input's. More than `most_languages` languages are an error: documents
+    of those left out would get a wrong label."""
+    sizes = documents.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages + 1).collect()
+    if len(sizes) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
     pieces = vocabulary(path)
     lattice = Lattice(pieces)
     if not sizes:

@@ -96,3 +96,14 @@ def test_long_words_are_learned_from():
     long = "ab" * 20 + "cd" * 20
     probs = dict(zip(pieces, learn(Lattice(pieces), Counter({long: 5}), len(pieces)), strict=True))
     assert np.allclose([probs[x] for x in "abcd"], 20 / 81, rtol=0.01) and np.isclose(probs["▁"], 1 / 81, rtol=0.1)
+
+
+def test_no_language_is_left_out(spark):
+    df = spark.createDataFrame([(i, "some words here", f"l{i % 3}") for i in range(60)], "doc_id bigint, text string, lang string")
+    assert identify(df, PATH, most_languages=3).count() == 60
+    try:
+        identify(df, PATH, most_languages=2)
+    except ValueError as e:
+        assert "more than 2 languages" in str(e)
+    else:
+        raise AssertionError("a language was dropped")
