@@ -9,11 +9,14 @@ maximisation from word counts of a bounded sample of labelled rows.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain, islice
+from functools import cache
+from itertools import chain, groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,27 +25,33 @@ from pyspark.sql import functions as F
 
 from suffloom.llm.common import kept_in_worker, table, text_batches, vocabulary_path, written
 
-_WORD = re.compile(r"[^\W\d_]+")
 _MARK = "▁"
-#: Longer words are cut into parts of so many signs; products of their probabilities stay above the smallest double.
-_PART = 30
+#: Sums are scaled after each so many signs, so that they stay above the smallest double however long a word is.
+_SCALED = 8
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: The probability of a sign that is no piece, in all languages alike.
 _FLOOR = 1e-8
 
 
+@cache
+def _word() -> re.Pattern:
+    """Runs of letters, of the categories L: word signs without digits, underscores and other numerals."""
+    numerals = "".join(re.escape(chr(c)) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Nl", "No"))
+    return re.compile(f"[^\\W\\d_{numerals}]+")
+
+
 def letters_only(text: str) -> list[str]:
     """Lower-case runs of letters."""
-    return _WORD.findall(text.lower())
+    return _word().findall(text.lower())
 
 
-def vocabulary(path: str, longest: int = 12) -> list[str]:
-    """Pieces of a sentencepiece model that hold letters only, after an optional word mark, up to `longest` signs."""
+def vocabulary(path: str) -> list[str]:
+    """Pieces of a sentencepiece model that hold letters only, after an optional word mark."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     found = (sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)))
-    return sorted({x for x in found if len(x) <= longest and (x == _MARK or _WORD.fullmatch(x.removeprefix(_MARK))) and x == x.lower()})
+    return sorted({x for x in found if (x == _MARK or _word().fullmatch(x.removeprefix(_MARK))) and x == x.lower()})
 
 
 def _hash(pieces: list[str]) -> np.ndarray:
@@ -84,26 +93,43 @@ def _by_length(words: Iterable[str]) -> dict[int, list[str]]:
     return out
 
 
+def _sums(arcs: Iterable[tuple[int, int, np.ndarray]], size: int, shape: tuple[int, ...], longest: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The forward algorithm: for each place, the sum over all ways to cut what is before it, as a number and the
+    logarithm of its scale. arcs: (begin, end, probability), begins ascending."""
+    sums, scales = [np.zeros(shape) for _ in range(size + 1)], [np.zeros(shape)] * (size + 1)
+    sums[0][:] = 1
+    scale, done = np.zeros(shape), 0
+    for i, j, p in arcs:
+        if i >= done + _SCALED:  # what ends at i is whole; rest reaches up to `longest` further
+            top = sums[i].copy()
+            scale = scale + np.log(top)
+            for k in range(i, min(size, i + longest) + 1):
+                sums[k] /= top
+            done = i
+        scales[i] = scale
+        sums[j] += sums[i] * p
+    scales[size] = scale
+    return sums, scales
+
+
+def _lengthened(words: Iterable[str]) -> dict[int, list[str]]:
+    return _by_length(_MARK + w for w in words)
+
+
 def word_log_probs(lattice: Lattice, probs: np.ndarray, words: list[str]) -> np.ndarray:
     """log of the sum over all segmentations, words x languages. probs: pieces x languages."""
     probs = np.vstack([probs, np.zeros((1, probs.shape[1]))])
     out = np.zeros((len(words), probs.shape[1]))
-    parts = [(_MARK + w)[k : k + _PART] for w in words for k in range(0, len(w) + 1, _PART)]
-    owner = np.array([i for i, w in enumerate(words) for _ in range(0, len(w) + 1, _PART)], np.int64)
     groups: dict[int, list[int]] = {}
-    for i, p in enumerate(parts):
-        groups.setdefault(len(p), []).append(i)
+    for i, w in enumerate(words):
+        groups.setdefault(len(w) + 1, []).append(i)
     for size, ids in groups.items():
-        for begin in range(0, len(ids), 20_000):
-            some = ids[begin : begin + 20_000]
-            forward = [np.zeros((len(some), probs.shape[1])) for _ in range(size + 1)]
-            forward[0][:] = 1
-            for i, j, piece in lattice.arcs([parts[x] for x in some]):
-                p = probs[piece]
-                if j == i + 1:
-                    p = np.maximum(p, _FLOOR)
-                forward[j] += forward[i] * p
-            np.add.at(out, owner[some], np.log(forward[size]))
+        step = max(1, 600_000 // size)
+        for begin in range(0, len(ids), step):
+            some = ids[begin : begin + step]
+            arcs = ((i, j, np.maximum(probs[piece], _FLOOR) if j == i + 1 else probs[piece]) for i, j, piece in lattice.arcs([_MARK + words[x] for x in some]))
+            sums, scales = _sums(arcs, size, (len(some), probs.shape[1]), lattice.longest)
+            out[some] = np.log(sums[size]) + scales[size]
     return out
 
 
@@ -111,35 +137,29 @@ def learn(lattice: Lattice, counts: Counter, n_pieces: int, rounds: int = 3, smo
     """Piece probabilities of one language from its words' counts, by expectation-maximisation.
 
     It starts from how often each piece occurs as a substring. `smooth` is added to each piece's count.
-    Long words are cut into parts as for scoring; each part counts as often as its word.
     """
-    parts: Counter = Counter()
-    for w, n in counts.items():
-        for k in range(0, len(w) + 1, _PART):
-            parts[(_MARK + w)[k : k + _PART]] += n
     probs = np.full(n_pieces + 1, 1.0)
     for turn in range(rounds + 1):
         total = np.zeros(n_pieces + 1)
-        for words in _by_length(parts).values():
-            weight = np.array([parts[w] for w in words], float)
-            arcs = list(lattice.arcs(words))
-            if turn == 0:
-                for _, _, piece in arcs:
-                    np.add.at(total, piece, weight)
-                continue
-            size = len(words[0])
-            forward = [np.zeros(len(words)) for _ in range(size + 1)]
-            backward = [np.zeros(len(words)) for _ in range(size + 1)]
-            forward[0][:] = 1
-            backward[size][:] = 1
-            p = [np.maximum(probs[piece], _FLOOR) if j == i + 1 else probs[piece] for i, j, piece in arcs]
-            for (i, j, _), x in zip(arcs, p, strict=True):
-                forward[j] += forward[i] * x
-            for (i, j, _), x in zip(reversed(arcs), reversed(p), strict=True):
-                backward[i] += backward[j] * x
-            scale = weight / forward[size]
-            for (i, j, piece), x in zip(arcs, p, strict=True):
-                np.add.at(total, piece, forward[i] * x * backward[j] * scale)
+        for size, all_words in _lengthened(counts).items():
+            step = max(1, 600_000 // size)
+            for begin in range(0, len(all_words), step):
+                words = all_words[begin : begin + step]
+                weight = np.array([counts[w[1:]] for w in words], float)
+                arcs = list(lattice.arcs(words))
+                if turn == 0:
+                    for _, _, piece in arcs:
+                        total += np.bincount(piece, weight, n_pieces + 1)
+                    continue
+                p = [np.maximum(probs[piece], _FLOOR) if j == i + 1 else probs[piece] for i, j, piece in arcs]
+                shape = (len(words),)
+                before, scale = _sums(((i, j, x) for (i, j, _), x in zip(arcs, p, strict=True)), size, shape, lattice.longest)
+                # From the end, places count from there.
+                turned = sorted(((size - j, size - i, x) for (i, j, _), x in zip(arcs, p, strict=True)), key=lambda a: a[0])
+                after, scale_after = _sums(turned, size, shape, lattice.longest)
+                for (i, j, piece), x in zip(arcs, p, strict=True):
+                    share = before[i] * x * after[size - j] * np.exp(scale[i] + scale_after[size - j] - scale[size]) / before[size]
+                    total += np.bincount(piece, weight * share, n_pieces + 1)
         total[n_pieces] = 0
         probs = (total + smooth) / (total.sum() + smooth * n_pieces)
         probs[n_pieces] = 0
@@ -181,20 +201,16 @@ class Scorer:
         return n, out
 
 
-def learn_model(documents: DataFrame, path: str, per_language: int = 1500, words_per_language: int = 20_000, most_languages: int = 200) -> Model:
-    """Learns from rows of (doc_key, text, lang): about `per_language` rows of each language, chosen
-    by a hash, and of their words the commonest `words_per_language`. These bounds make the fit's
-    size independent of the input's. More than `most_languages` languages are an error: documents
-    of those left out would get a wrong label."""
-    sizes = documents.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages + 1).collect()
-    if len(sizes) > most_languages:
-        raise ValueError(f"more than {most_languages} languages")
+def learn_model(documents: DataFrame, path: str, sample_bytes: int = 1 << 20) -> Model:
+    """Learns from rows of (doc_key, text, lang): of each language about `sample_bytes` of text, in whole rows chosen
+    by a hash. This bound on the labelled rows makes the fit's size independent of the input's."""
+    sizes = documents.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()
     pieces = vocabulary(path)
     lattice = Lattice(pieces)
     if not sizes:
         return Model([], pieces, np.zeros((len(pieces), 0)))
-    share = F.create_map(*chain.from_iterable((F.lit(r["lang"]), F.lit(min(1.0, per_language / r["n"]))) for r in sizes))
-    chosen = F.pmod(F.xxhash64("doc_key", "text"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)
+    share = F.create_map(*chain.from_iterable((F.lit(r["lang"]), F.lit(min(1.0, sample_bytes / max(r["n"], 1)))) for r in sizes))
+    chosen = F.pmod(F.xxhash64("doc_key", "text"), F.lit(1 << 40)) < share[F.col("lang")] * (1 << 40)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_batches(batches):
@@ -206,11 +222,9 @@ def learn_model(documents: DataFrame, path: str, per_language: int = 1500, words
     words = documents.where(chosen).select("lang", "text").mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     words = written(words, "language-words")
     languages, probs = [], []
-    for r in sorted(r["lang"] for r in sizes):
-        top = words.where(F.col("lang") == r).orderBy(F.desc("n"), "word").limit(words_per_language).collect()
-        if top:
-            languages.append(r)
-            probs.append(learn(lattice, Counter({x["word"]: x["n"] for x in top}), len(pieces)))
+    for lang, found in groupby(words.sort("lang").toLocalIterator(), key=lambda x: x["lang"]):
+        languages.append(lang)
+        probs.append(learn(lattice, Counter({x["word"]: x["n"] for x in found}), len(pieces)))
     return Model(languages, pieces, np.stack(probs, 1) if probs else np.zeros((len(pieces), 0)))
 
 
