@@ -102,8 +102,9 @@ def filter_urls(
     A rule's verdict stands. Where no rule fits, the URL is blocked if its score, the mean
     over its signs of the log ratio of both models, is under the threshold.
 
-    Models: rejected URLs are those whose host holds one of `rejected_words`; accepted
-    ones hold none and aren't blocked by a rule. Four fifths of the URLs (by MD5)
+    Models: rejected URLs are those whose host holds one of the seed words `rejected_words`;
+    accepted ones hold none and aren't blocked by a rule. The models also tell of hosts without
+    a seed word: with one word's hosts left out of the fit, many of them are still blocked. Four fifths of the URLs (by MD5)
     are counted, the rest calibrates: the threshold is where the share of accepted URLs
     kept plus the share of rejected URLs dropped is largest (amid the gap, where scores leave one).
 
@@ -112,8 +113,9 @@ def filter_urls(
     either kind there is no threshold, and all URLs without a rule are allowed. Columns
     of the input named like an output column are replaced. Rows may repeat.
     """
-    made = ("host", "path", "rule", "ruled", "cells", "score", "threshold", "verdict")
-    df = pages.select([c for c in pages.columns if c not in made])
+    made = ("host", "path", "rule", "score", "threshold", "verdict")
+    given = [c for c in pages.columns if c not in made]
+    df = pages.select(F.struct(*given).alias("row"), "url")  # so that no column of the input meets one of ours
     host, path = url_parts(F.col("url"))
     df = df.withColumn("host", host).withColumn("path", path)
     rule, ruled = matched_rule(F.col("host"), F.col("path"), rules)
@@ -145,7 +147,8 @@ def filter_urls(
     threshold = whole.select(F.when((F.col("ta") > 0) & (F.col("tr") > 0), best * (8 / _BINS) - 4).alias("threshold"))
     out = scored(_with_cells(df)).withColumn("threshold", threshold.scalar())
     judged = F.when(F.col("score") < F.col("threshold"), "block").otherwise("allow")
-    return out.withColumn("verdict", F.coalesce("ruled", judged)).drop("ruled")
+    out = out.withColumn("verdict", F.coalesce("ruled", judged))
+    return out.select(*(F.col("row").getField(c).alias(c) for c in given), *made)
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -104,6 +104,14 @@ def test_unseen_relatives_of_bad_hosts(spark, pages):
     assert got[9000]["score"] < got[9001]["score"]
 
 
+def test_hosts_without_a_seed_word(spark, pages):
+    """The models, not the seed words, decide: hosts of words that aren't among them, and that weren't learned from."""
+    own = spark.createDataFrame([(8000 + i, f"http://{h}/en/{i}") for i, h in enumerate(["poker-play.example.com", "cheap-free-win-now.example.com", "www.newshouse.example.com"])], "page_id bigint, url string")
+    words = [w for w in REJECTED_WORDS if w not in ("poker", "payday")]
+    got = {r["page_id"]: (r["score"], r["verdict"]) for r in filter_urls(pages.where(~F.col("url").rlike("poker|payday")).unionByName(own), rejected_words=words).collect()}
+    assert max(got[8000], got[8001]) < got[8002] and got[8002][1] == "allow"
+
+
 def test_no_python_on_the_main_path(pages):
     plan = filter_urls(pages)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
@@ -127,8 +135,12 @@ def test_edges(spark, pages):
     assert filter_urls(pages.limit(0)).count() == 0
     good = pages.where(~F.col("url").rlike("casino|poker|pills|payday"))
     assert {r["verdict"] for r in filter_urls(good).where("rule is null").collect()} == {"allow"}
-    clash = pages.withColumns({c: F.lit("x") for c in ("host", "score", "cells", "threshold", "model", "codes", "signs", "bad", "accepted")})
+    kept = ("row", "cells", "model", "codes", "signs", "ruled", "bad", "accepted")
+    clash = pages.withColumns({c: F.lit("x") for c in ("host", "score", "threshold", *kept)})
     cols = ("page_id", "host", "path", "rule", "verdict")
-    assert plain(filter_urls(clash), *cols) == plain(filter_urls(pages), *cols)
+    got = filter_urls(clash)
+    assert plain(got, *cols) == plain(filter_urls(pages), *cols)
+    assert got.columns == ["page_id", "url", *kept, "host", "path", "rule", "score", "threshold", "verdict"]
+    assert {tuple(r[c] for c in kept) for r in got.select(*kept).distinct().collect()} == {("x",) * len(kept)}
     twice = filter_urls(pages.unionByName(pages))
     assert twice.count() == 2 * len(URLS)
