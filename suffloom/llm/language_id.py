@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from suffloom.llm.common import kept_in_worker, table, text_batches, vocabulary_path, written
 
+_RUN = re.compile(r"[^\W\d_]+")
 _MARK = "▁"
 #: Sums are scaled after each so many signs, so that they stay above the smallest double however long a word is.
 _SCALED = 8
@@ -42,7 +43,10 @@ def _word() -> re.Pattern:
 
 def letters_only(text: str) -> list[str]:
     """Lower-case runs of letters."""
-    return _word().findall(text.lower())
+    runs = _RUN.findall(text.lower())
+    if "".join(runs).isalpha():
+        return runs
+    return [w for r in runs for w in ([r] if r.isalpha() else _word().findall(r))]  # numerals among the letters
 
 
 def vocabulary(path: str) -> list[str]:
