@@ -29,6 +29,24 @@ def block_ranges(sizes: DataFrame, block_size: int) -> DataFrame:
     return each.select("text_id", F.col("b").cast("int").alias("block_id"), (F.col("b") * block_size).alias("beg"), F.least((F.col("b") + 1) * block_size, "n").alias("end"))
 
 
+def half_ranges(blocks: DataFrame, memory: int) -> DataFrame:
+    """blocks (text_id, block_id, beg, end, n) with `mid`, where the right half begins. A block is halved, but the text's
+    last one has a left part of a tenth of `memory`; the left part has a byte at least, the right one may be empty."""
+    size = F.col("end") - F.col("beg")
+    left = F.when(F.col("end") == F.col("n"), F.least(size, F.lit(max(1, memory // 10)))).otherwise(F.greatest(F.lit(1), F.floor(size / 2)))
+    return blocks.withColumn("mid", (F.col("beg") + left).cast("long"))
+
+
+def aligned_ranges(sizes: DataFrame, most: int, unit: int) -> DataFrame:
+    """(text_id, block_id, beg, end) of (text_id, n): at most `most` blocks of one size, a multiple of `unit` (but no
+    longer than the text), counted from the text's end, so that the first one is the short one."""
+    size = F.least("n", F.ceil(F.ceil(F.col("n") / most) / unit) * unit)
+    each = sizes.where("n > 0").withColumn("size", size).withColumn("count", F.ceil(F.col("n") / F.col("size")))
+    each = each.select("text_id", "n", "size", "count", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)).alias("b"))
+    end = F.col("n") - (F.col("count") - 1 - F.col("b")) * F.col("size")
+    return each.select("text_id", F.col("b").cast("int").alias("block_id"), F.greatest(F.lit(0).cast("long"), end - F.col("size")).alias("beg"), end.cast("long").alias("end"))
+
+
 def partial_arrays(suf: DataFrame, block_size: int) -> DataFrame:
     """(text_id, block_id, rank, off): each block's suffixes in order of the whole text's; off is from the block's begin."""
     block = F.floor(F.col("pos") / block_size)
@@ -102,6 +120,28 @@ def gap_bits(suf: DataFrame, block: Column, tail: Column, large: bool = False) -
     return running(rows, ["text_id"], "rank", F.lit(1), "i", large).select("text_id", "i", "bit")
 
 
+def edited_bits(bits: DataFrame, changes: DataFrame) -> DataFrame:
+    """bits (text_id, i, bit) after changes (text_id, i, change): set, reset or flip. At most one change for a bit; others stay."""
+    now = F.when(F.col("change") == "set", True).when(F.col("change") == "reset", False).when(F.col("change") == "flip", ~F.col("bit")).otherwise(F.col("bit"))
+    return bits.join(changes, ["text_id", "i"], "left").select("text_id", "i", now.alias("bit"))
+
+
+def packed_bits(bits: DataFrame, size: int = 1 << 20) -> DataFrame:
+    """(text_id, chunk, n, packed): runs of `size` bits (a multiple of 8), eight to a byte, the first one lowest; to be saved."""
+    chunk = F.floor(F.col("i") / size).alias("chunk")
+    octets = bits.groupBy("text_id", chunk, F.floor(F.col("i") % size / 8).alias("k")).agg(F.sum(F.expr("shiftleft(cast(bit as int), cast(i % 8 as int))")).alias("octet"), F.count("*").alias("n"))
+    each = F.sort_array(F.collect_list(F.struct("k", F.lpad(F.hex("octet"), 2, "0").alias("x"))))
+    return octets.groupBy("text_id", "chunk").agg(F.sum("n").alias("n"), F.unhex(F.concat_ws("", F.transform(each, lambda x: x["x"]))).alias("packed"))
+
+
+def unpacked_bits(packed: DataFrame, size: int = 1 << 20) -> DataFrame:
+    """packed_bits() back as (text_id, i, bit)."""
+    at = packed.select("text_id", "chunk", "packed", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
+    octet = F.conv(F.hex(F.substring("packed", (F.floor(F.col("j") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.expr("shiftright(octet, cast(j % 8 as int)) & 1") == 1
+    return at.withColumn("octet", octet).select("text_id", (F.col("chunk") * size + F.col("j")).alias("i"), bit.alias("bit"))
+
+
 def bit_ranks(bits: DataFrame, large: bool = False) -> DataFrame:
     """(text_id, i, bit, rank1, rank0, nth): ones and noughts before i, and which of its kind the bit is (from 0): select(bit, nth) = i."""
     rows = running(bits, ["text_id"], "i", F.col("bit").cast("int"), "rank1", large)

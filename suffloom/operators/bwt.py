@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from suffloom.functions.kernel import invert_bwt
 from suffloom.operators.ranking import prefix_sums
-from suffloom.operators.shared import written
+from suffloom.operators.shared import once, written
 from suffloom.operators.suffix_array import text_runs
 
 
@@ -89,8 +89,23 @@ def approximate_occurrences(suf: DataFrame, log: int, large: bool = False) -> Da
     return occurrences(suf, large).withColumn("occ", (F.floor(F.col("occ") / step) * step).cast("long"))
 
 
+def rank_samples(suf: DataFrame, log: int, large: bool = False) -> DataFrame:
+    """(text_id, sym, rank): the slots of each 2**log-th occurrence of a symbol in the BWT; a table to keep, smaller by that factor."""
+    step = 1 << log
+    return occurrences(suf, large).where((F.col("occ") + 1) % step == 0).select("text_id", "sym", "rank")
+
+
+def approximate_rank(samples: DataFrame, queries: DataFrame, log: int, large: bool = False) -> DataFrame:
+    """queries (text_id, i, sym) with occ: how often sym occurs in BWT[0, i), at most 2**log - 1 too low, from rank_samples() alone."""
+    marks = queries.select("text_id", "sym", F.struct(F.col("i").alias("at"), F.lit(0).alias("mark"), F.monotonically_increasing_id().alias("q")).alias("__order"), F.lit(0).alias("mark"))
+    rows = samples.select("text_id", "sym", F.struct(F.col("rank").alias("at"), F.lit(1).alias("mark"), F.lit(-1).cast("long").alias("q")).alias("__order"), F.lit(1).alias("mark"))
+    counted = running(rows.unionByName(marks), ["text_id", "sym"], "__order", F.col("mark"), "occ", large)
+    return counted.where("mark = 0").select("text_id", F.col("__order.at").alias("i"), "sym", (F.col("occ") * (1 << log)).alias("occ"))
+
+
 def lf_mapping(suf: DataFrame, large: bool = False) -> DataFrame:
     """(text_id, rank, lf): the slot of the suffix one longer, for all but the whole text's."""
+    suf = once(suf, "suffixes")
     last = suf.where(F.col("pos") == F.col("n") - 1).select("text_id", F.col("sym").alias("last"))
     rows = running(suf.where("pos > 0").select("text_id", "rank", F.col("prev").alias("sym")), ["text_id", "sym"], "rank", F.lit(1), "occ", large)
     rows = rows.join(c_array(suf).select("text_id", "sym", "c"), ["text_id", "sym"]).join(last, "text_id")

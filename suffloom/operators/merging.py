@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from suffloom.operators.blocks import gap, zone, zone_array
 from suffloom.operators.bwt import running
+from suffloom.operators.shared import once
 
 
 def merge_two(left: DataFrame, right: DataFrame, gaps: DataFrame, large: bool = False) -> DataFrame:
@@ -31,6 +32,7 @@ def merge_two(left: DataFrame, right: DataFrame, gaps: DataFrame, large: bool =
 
 def merge_halves(suf: DataFrame, large: bool = False) -> DataFrame:
     """(text_id, rank, pos): the array of a text from its halves' and their gap."""
+    suf = once(suf, "suffixes")
     left, right = zone(2, 0), zone(2, 1)
     return merge_two(zone_array(suf, left, large), zone_array(suf, right, large), gap(suf, left, right, large), large).select("text_id", "rank", "pos")
 
@@ -38,6 +40,7 @@ def merge_halves(suf: DataFrame, large: bool = False) -> DataFrame:
 def merge_parts(suf: DataFrame, parts: int, large: bool = False) -> DataFrame:
     """(text_id, rank, pos): the array of a text from those of its parts, merged from the last to the first;
     each part's gap is that of all that follows."""
+    suf = once(suf, "suffixes")
     merged = zone_array(suf, zone(parts, parts - 1), large)
     for k in range(parts - 2, -1, -1):
         gaps = gap(suf, zone(parts, k), zone(parts, k + 1, parts), large)
@@ -49,6 +52,7 @@ def merge_transforms(suf: DataFrame, large: bool = False) -> DataFrame:
     """(text_id, rank, sym): the BWT of a text from those of its halves. The right one's slot of its first
     position gets the left one's last byte; the merged primary index is where position 0 comes to lie."""
 
+    suf = once(suf, "suffixes")
     half = F.floor(F.col("n") / 2)
     left, right = zone(2, 0), zone(2, 1)
     own = suf.select("text_id", "pos", "n")

@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of this machine only where that is unset, as in tests."""
+    """spark.checkpoint.dir; where that is unset, a folder of this machine, if all of Spark runs on it, as in tests."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.partition("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     own = tempfile.mkdtemp(prefix="suffloom-")
     atexit.register(shutil.rmtree, own, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(own)
@@ -27,8 +29,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
     def drop() -> None:
         try:
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            remove(spark, path)
         except Exception:  # the session ended before
             pass
 
@@ -36,6 +37,20 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, if it's there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def once(df: DataFrame, name: str) -> DataFrame:
+    """df for several uses: as it is if it only reads files, else written first, so that it's computed once."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString().strip().splitlines()
+    if all(line.lstrip(" :+-").startswith(("Project", "Filter", "Relation", "LocalRelation")) for line in plan):
+        return df
+    return written(df, name)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: later reads neither compute it again nor need its executors."""
     path = fresh_path(df.sparkSession, name)

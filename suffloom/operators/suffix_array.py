@@ -12,7 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from suffloom.functions.kernel import FIRST_SYMBOLS, first_keys, sort_suffixes
@@ -217,5 +217,18 @@ def sampled(suf: DataFrame, every: int) -> DataFrame:
     return suf.where((F.col("pos") % every == 0) | (F.col("pos") == F.col("n") - 1)).select("text_id", "pos", "rank")
 
 
+def order_faults(suf: DataFrame) -> DataFrame:
+    """(text_id, n, positions, faults) of a table of suffixes (text_id, pos, rank, sym): a proof of its order without
+    comparing suffixes. A suffix array is right if each slot's first byte and, where these are equal, the rank
+    of the suffix behind it ascend. positions: the sum of them; faults: slots out of order or that don't follow each other."""
+    by_pos = Window.partitionBy("text_id").orderBy("pos")
+    by_rank = Window.partitionBy("text_id").orderBy("rank")
+    rows = suf.select("text_id", "pos", "rank", "sym", F.coalesce(F.lead("rank").over(by_pos), F.lit(-1).cast("long")).alias("following"))
+    here, before = F.struct("sym", "following"), F.struct(F.lag("sym").over(by_rank).alias("sym"), F.lag("following").over(by_rank).alias("following"))
+    gap = F.col("rank") != F.coalesce(F.lag("rank").over(by_rank) + 1, F.lit(0))
+    rows = rows.withColumn("fault", (gap | (F.col("rank") > 0) & (before >= here)).cast("long"))
+    return rows.groupBy("text_id").agg(F.count("*").alias("n"), F.sum("pos").alias("positions"), F.sum("fault").alias("faults"))
+
+
 def byte_of(sym: Column) -> Column:
     return F.unhex(F.lpad(F.hex(sym), 2, "0"))

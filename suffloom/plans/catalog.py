@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from suffloom.functions import codecs, strings
 from suffloom.operators import blocks, bwt, merging, search
 from suffloom.operators import suffix_array as sa
-from suffloom.operators.shared import fresh_path
+from suffloom.operators.shared import fresh_path, once, written
 from suffloom.sources import sa5
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,6 +106,26 @@ def sa_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sa.suffix_array(sa.texts_of(_table(spark, sf_dir, "pages"), "page_id", "html"))
 
 
+def _order(spark: SparkSession, sf_dir: str, name: str, key: str, column: str) -> DataFrame:
+    texts = sa.texts_of(_table(spark, sf_dir, name), key, column)
+    return sa.order_faults(sa.suffixes(texts, columns=["text_id", "pos", "rank", "sym"]))
+
+
+def _order_sql(name: str, key: str, column: str) -> str:
+    return f"SELECT CAST({key} AS BIGINT) AS text_id, CAST(strlen({column}) AS BIGINT) AS n, CAST(strlen({column}) AS BIGINT) * (strlen({column}) - 1) // 2 AS positions, CAST(0 AS BIGINT) AS faults FROM {name} WHERE {column} <> ''"
+
+
+@_query(_order_sql("documents", "doc_id", "text"))
+def sa_documents_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """That all suffixes of all documents are in order: SQL can't sort them, but knows what a right order must give."""
+    return _order(spark, sf_dir, "documents", "doc_id", "text")
+
+
+@_query(_order_sql("pages", "page_id", "html"))
+def sa_pages_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _order(spark, sf_dir, "pages", "page_id", "html")
+
+
 @_query(_PART + "SELECT text_id, pos, rank FROM isa")
 def isa_part_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sa.inverse_suffix_array(part_texts(spark, sf_dir))
@@ -179,6 +199,12 @@ def rank_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bwt.approximate_occurrences(part_suffixes(spark, sf_dir), 1)
 
 
+@_query(_PART + "SELECT q.text_id, q.rank AS i, q.sym, count(b.rank) // 2 * 2 AS occ FROM isa q LEFT JOIN isa b ON b.text_id = q.text_id AND b.prev = q.sym AND b.rank < q.rank GROUP BY ALL")
+def rank_approx_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    suf = part_suffixes(spark, sf_dir)
+    return bwt.approximate_rank(bwt.rank_samples(suf, 1), suf.select("text_id", F.col("rank").alias("i"), "sym"), 1)
+
+
 @_query(_PART + "SELECT a.text_id, a.rank, b.rank AS lf FROM isa a JOIN isa b ON b.text_id = a.text_id AND b.pos = a.pos - 1")
 def lf_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bwt.lf_mapping(part_suffixes(spark, sf_dir))
@@ -315,7 +341,7 @@ def bit_chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    suf = part_suffixes(spark, sf_dir)
+    suf = once(part_suffixes(spark, sf_dir), "suffixes")
     gaps = blocks.gap(suf, blocks.zone(2, 0), blocks.zone(2, 1))
     return blocks.dense_gap(gaps, blocks.zone_sizes(suf, blocks.zone(2, 0)))
 
@@ -354,6 +380,69 @@ def block_rank_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.block_rank_matrix(part_suffixes(spark, sf_dir), 3)
 
 
+@_query(
+    """SELECT *, CAST(CASE WHEN "end" = n THEN beg + least("end" - beg, 2) ELSE beg + greatest(1, ("end" - beg) // 2) END AS BIGINT) AS mid FROM
+    (SELECT CAST(p_partkey AS BIGINT) AS text_id, b::INT AS block_id, CAST(4 * b AS BIGINT) AS beg, CAST(least(4 * b + 4, n) AS BIGINT) AS "end", CAST(n AS BIGINT) AS n
+    FROM (SELECT p_partkey, strlen(p_name) AS n, unnest(range((CAST(strlen(p_name) AS BIGINT) + 3) // 4)) AS b FROM part WHERE p_name IS NOT NULL))"""
+)
+def half_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = part_texts(spark, sf_dir).select("text_id", F.octet_length("bytes").cast("long").alias("n"))
+    return blocks.half_ranges(blocks.block_ranges(sizes, 4).join(sizes, "text_id"), 20)
+
+
+@_query(
+    """SELECT text_id, b::INT AS block_id, CAST(greatest(0, n - (k - b) * size) AS BIGINT) AS beg, CAST(n - (k - 1 - b) * size AS BIGINT) AS "end" FROM
+    (SELECT *, (n + size - 1) // size AS k, unnest(range((n + size - 1) // size)) AS b FROM
+    (SELECT CAST(item_id AS BIGINT) AS text_id, CAST(strlen(text) AS BIGINT) AS n, least(CAST(strlen(text) AS BIGINT), ((CAST(strlen(text) AS BIGINT) + 4) // 5 + 15) // 16 * 16) AS size FROM benchmark WHERE text <> ''))"""
+)
+def aligned_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = sa.texts_of(_table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return blocks.aligned_ranges(texts.select("text_id", F.octet_length("bytes").cast("long").alias("n")), 5, 16)
+
+
+@_query(_PART + _BITS + "SELECT text_id, i, CASE i % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN NOT bit ELSE bit END AS bit FROM bits")
+def bit_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bits set, reset, flipped and left, then saved eight to a byte and loaded again."""
+    bits = _bits(spark, sf_dir)
+    changes = bits.where("i % 4 < 3").select("text_id", "i", F.element_at(F.array(F.lit("set"), F.lit("reset"), F.lit("flip")), (F.col("i") % 4 + 1).cast("int")).alias("change"))
+    return blocks.unpacked_bits(written(blocks.packed_bits(blocks.edited_bits(bits, changes), 8), "bits"), 8)
+
+
+# The same on longer texts: benchmark items have some 240 bytes
+
+
+_ITEMS = "WITH " + _texts("benchmark", "item_id", "text") + _SUFFIXES
+
+
+def item_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sa.suffixes(sa.texts_of(_table(spark, sf_dir, "benchmark"), "item_id", "text"))
+
+
+@_query(_ITEMS + "SELECT text_id, rank, prev AS sym FROM isa")
+def bwt_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt.bwt(item_suffixes(spark, sf_dir))
+
+
+@_query(_ITEMS + "SELECT a.text_id, a.rank, b.rank AS lf FROM isa a JOIN isa b ON b.text_id = a.text_id AND b.pos = a.pos - 1")
+def lf_mapping_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt.lf_mapping(item_suffixes(spark, sf_dir))
+
+
+@_query(_ITEMS + _SLOTS % ("b.pos < b.n // 2", "t.pos >= t.n // 2"))
+def gap_array_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.gap(item_suffixes(spark, sf_dir), blocks.zone(2, 0), blocks.zone(2, 1))
+
+
+@_query(_ITEMS + "SELECT text_id, rank, pos FROM isa")
+def merge_k_way_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merging.merge_parts(item_suffixes(spark, sf_dir), 4)
+
+
+@_query(_ITEMS + "SELECT text_id, pos, suffix > h AS gt FROM isa WHERE pos > 0")
+def gt_begin_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.gt_begin(item_suffixes(spark, sf_dir))
+
+
 # Merges
 
 
@@ -397,7 +486,7 @@ def delete_byte_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM (SELECT *, CAST('0x' || substr(h, 2 * (n // 2) - 1, 2) AS INT) AS last FROM isa WHERE pos < n // 2)"""
 )
 def rename_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    suf = part_suffixes(spark, sf_dir)
+    suf = once(part_suffixes(spark, sf_dir), "suffixes")
     half = blocks.cut(2, 1)
     last = suf.where(F.col("pos") == half - 1).select("text_id", F.col("sym").alias("last"))
     after = blocks.greater_than(suf, F.col("pos") <= half, half).select("text_id", (F.col("pos") - 1).alias("pos"), F.col("gt").alias("after"))

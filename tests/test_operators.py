@@ -165,3 +165,64 @@ def test_random_texts(spark):
     assert len(set(got)) == 5 and all(len(t) == 40 and set(t) <= set(b"ab\xff") for t in got)
     assert got == [bytes(r["bytes"]) for r in random_texts(spark, 5, 40, b"ab\xff", 3).orderBy("text_id").collect()]
     assert rows(sa.suffix_array(df), "text_id", "rank", "pos") == [(i, r, p) for i, t in enumerate(got) for r, p in enumerate(naive(t))]
+
+
+def test_order_faults(spark, suf):
+    assert {(r["n"], r["positions"], r["faults"]) for r in sa.order_faults(suf).collect()} == {(len(t), len(t) * (len(t) - 1) // 2, 0) for t in TEXTS if t}
+    swapped = suf.where("text_id = 3").withColumn("rank", F.when(F.col("rank") == 4, 5).when(F.col("rank") == 5, 4).otherwise(F.col("rank")))
+    assert sa.order_faults(swapped).first()["faults"] > 0
+    doubled = suf.where("text_id = 3").withColumn("rank", F.when(F.col("rank") == 4, 5).otherwise(F.col("rank")))
+    assert sa.order_faults(doubled).first()["faults"] > 0
+
+
+@pytest.mark.parametrize("large", [False, True])
+@pytest.mark.parametrize("log", [0, 1, 3])
+def test_approximate_rank(spark, suf, log, large):
+    asked = [(i, at, s) for i in (2, 3, 4, 9) for at in range(0, len(TEXTS[i]) + 1, 3) for s in (0, 97, 98, 115)]
+    got = {(r["text_id"], r["i"], r["sym"]): r["occ"] for r in bwt.approximate_rank(bwt.rank_samples(suf, log, large), spark.createDataFrame(asked, "text_id bigint, i bigint, sym int"), log, large).collect()}
+    for i, at, s in asked:
+        b = [TEXTS[i][p - 1] if p else 0 for p in naive(TEXTS[i])]
+        assert got[i, at, s] == b[:at].count(s) >> log << log
+
+
+def test_splits(spark):
+    sizes = spark.createDataFrame([(i, n) for i, n in enumerate([1, 7, 16, 17, 63, 64, 65, 100, 1000])], "text_id bigint, n bigint")
+    for most, unit in ((1, 8), (4, 8), (5, 16)):
+        got = {}
+        for r in blocks.aligned_ranges(sizes, most, unit).orderBy("text_id", "block_id").collect():
+            got.setdefault(r["text_id"], []).append((r["beg"], r["end"]))
+        for i, n in enumerate([1, 7, 16, 17, 63, 64, 65, 100, 1000]):
+            parts = got[i]
+            assert parts[0][0] == 0 and parts[-1][1] == n and len(parts) <= most
+            assert all(a[1] == b[0] for a, b in zip(parts, parts[1:]))
+            sizes_ = [b - a for a, b in parts]
+            assert len(set(sizes_[1:])) <= 1 and sizes_[0] <= sizes_[-1] and (sizes_[-1] == n or sizes_[-1] % unit == 0)
+    one = spark.createDataFrame([(0, 0, 0, 4, 9), (0, 1, 4, 8, 9), (0, 2, 8, 9, 9), (1, 0, 0, 1, 5)], "text_id bigint, block_id int, beg bigint, end bigint, n bigint")
+    assert [r["mid"] for r in blocks.half_ranges(one, 30).orderBy("text_id", "block_id").collect()] == [2, 6, 9, 1]
+
+
+def test_bits_saved_and_loaded(spark):
+    rnd = random.Random(1)
+    rows_ = [(t, i, rnd.random() < 0.5) for t, n in ((0, 1), (1, 8), (2, 100)) for i in range(n)]
+    bits = spark.createDataFrame(rows_, "text_id bigint, i bigint, bit boolean")
+    for size in (8, 24, 1 << 20):
+        assert rows(blocks.unpacked_bits(blocks.packed_bits(bits, size), size), "text_id", "i", "bit") == sorted(rows_)
+    changes = spark.createDataFrame([(2, 5, "set"), (2, 6, "reset"), (2, 7, "flip"), (9, 1, "set")], "text_id bigint, i bigint, change string")
+    want = [(t, i, {5: True, 6: False, 7: not b}.get(i, b) if t == 2 else b) for t, i, b in rows_]
+    assert rows(blocks.edited_bits(bits, changes), "text_id", "i", "bit") == sorted(want)
+
+
+def test_suffixes_are_sorted_once(texts):
+    """Operators that use the table of suffixes several times write it first."""
+    for df in (bwt.lf_mapping(sa.suffixes(texts)), merging.merge_halves(sa.suffixes(texts)), merging.merge_parts(sa.suffixes(texts), 4), merging.merge_transforms(sa.suffixes(texts))):
+        assert "MapInArrow" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_shared_folder_must_be_named_on_a_cluster():
+    from types import SimpleNamespace
+
+    from suffloom.operators.shared import shared_dir
+
+    context = SimpleNamespace(getConf=dict, getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(RuntimeError):
+        shared_dir(SimpleNamespace(sparkContext=context, conf={}))
