@@ -16,7 +16,7 @@ from suffloom.shipping import ship
 MOST_PATTERN_BYTES = 8 << 20
 
 
-def _collected(patterns: DataFrame) -> list[tuple[int, bytes]]:
+def collected(patterns: DataFrame) -> list[tuple[int, bytes]]:
     """Patterns go to all tasks, so their size is checked."""
     size = patterns.agg(F.sum(F.octet_length("pat"))).first()[0] or 0
     if size > MOST_PATTERN_BYTES:
@@ -28,7 +28,7 @@ def pattern_ranges(texts: DataFrame, patterns: DataFrame, found_only: bool = Fal
     """(text_id, pat_id, lo, hi): the half-open run of slots whose suffixes begin with the pattern. An empty
     run lies at the first greater suffix; found_only leaves such out. Binary search in each text."""
     ship(texts.sparkSession)
-    pats = _collected(patterns)
+    pats = collected(patterns)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, some in text_runs(batches, 1 << 20):
@@ -55,7 +55,7 @@ def pattern_counts(texts: DataFrame, patterns: DataFrame) -> DataFrame:
 def pattern_positions(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """(text_id, pat_id, pos)"""
     ship(texts.sparkSession)
-    pats = _collected(patterns)
+    pats = collected(patterns)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, some in text_runs(batches, 1 << 20):

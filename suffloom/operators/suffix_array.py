@@ -2,7 +2,8 @@
 
 Texts are rows (text_id, bytes). Results have one row for each byte of each text:
 text_id, pos (0-based), rank (the suffix' slot), n (the text's length), sym (the byte at pos)
-and prev (the byte before, 0 at pos 0). All other operators follow from these.
+and prev (the byte before, 0 at pos 0). All other operators follow from these. On demand, key
+holds a suffix' first seven symbols as a number.
 """
 
 from __future__ import annotations
@@ -71,6 +72,10 @@ def _sorted_rows(columns: list[str]) -> Callable[[Iterable[pa.RecordBatch]], Ite
             n, sizes = len(order), np.diff(starts)
             text = np.repeat(np.arange(len(texts)), sizes)
             made = {"pos": lambda: order, "rank": lambda: np.arange(n) - starts[text], "text_id": lambda: np.array(ids, np.int64)[text], "n": lambda: sizes[text]}
+            if "key" in columns:
+                left = np.repeat(starts[1:], sizes) - np.arange(n)
+                keys = first_keys(np.frombuffer(b"".join(texts), np.uint8), left)
+                made["key"] = lambda: keys[starts[text] + order]
             if "sym" in columns or "prev" in columns:
                 symbols = np.frombuffer(b"".join(texts), np.uint8)
                 at = starts[text] + order
@@ -85,8 +90,8 @@ def _sorted_rows(columns: list[str]) -> Callable[[Iterable[pa.RecordBatch]], Ite
 def by_kernel(texts: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Each text is sorted by one task. No shuffle. Only the columns asked for are made and sent."""
     ship(texts.sparkSession)
-    kinds = dict(x.split(" ") for x in SCHEMA.split(", "))
-    columns = columns or list(kinds)
+    columns = columns or [x.split(" ")[0] for x in SCHEMA.split(", ")]
+    kinds = dict(x.split(" ") for x in f"{SCHEMA}, key bigint".split(", "))
     return texts.select("text_id", "bytes").mapInArrow(_sorted_rows(columns), ", ".join(f"{c} {kinds[c]}" for c in columns))
 
 
@@ -130,16 +135,16 @@ def _keys_of_chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 _KEYED = "text_id bigint, pos bigint, key bigint, n bigint, sym int, prev int"
 
 
-def by_doubling(texts: DataFrame, partitions: int | None = None) -> DataFrame:
+def by_doubling(texts: DataFrame, partitions: int | None = None, columns: list[str] | None = None) -> DataFrame:
     """Distributed prefix doubling of texts that fit a row."""
     ship(texts.sparkSession)
-    return _doubled(texts.select("text_id", "bytes").mapInArrow(_keys_of_texts, _KEYED), partitions)
+    return _doubled(texts.select("text_id", "bytes").mapInArrow(_keys_of_texts, _KEYED), partitions).select(*(columns or [x.split(" ")[0] for x in SCHEMA.split(", ")]))
 
 
-def of_chunks(chunks: DataFrame, partitions: int | None = None) -> DataFrame:
+def of_chunks(chunks: DataFrame, partitions: int | None = None, columns: list[str] | None = None) -> DataFrame:
     """The table of suffixes of texts that come as chunks (see sources.chunks): a text may be longer than a row or a task can be."""
     ship(chunks.sparkSession)
-    return _doubled(chunks.mapInArrow(_keys_of_chunks, _KEYED), partitions)
+    return _doubled(chunks.mapInArrow(_keys_of_chunks, _KEYED), partitions).select(*(columns or [x.split(" ")[0] for x in SCHEMA.split(", ")]))
 
 
 def _doubled(keyed: DataFrame, partitions: int | None) -> DataFrame:
@@ -150,6 +155,9 @@ def _doubled(keyed: DataFrame, partitions: int | None) -> DataFrame:
     suffixes that still share theirs. Rounds: about log2 of the longest repeat over seven.
     """
     rows = written(keyed, "symbols")
+    if partitions is None:  # as many as hold 64 MiB of the written rows each
+        conf = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        partitions = max(conf, int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >> 26)
     counts = rows.groupBy("text_id", "key").agg(F.count("*").alias("count"))
     ranks = _within_text(prefix_sums(counts, ["text_id", "key"], "count", "before", partitions), partitions)
     ranked = rows.select("text_id", "pos", "n", "key").join(ranks.select("text_id", "key", "rank", "count"), ["text_id", "key"])
@@ -171,7 +179,7 @@ def _doubled(keyed: DataFrame, partitions: int | None) -> DataFrame:
         open_ = moved.where("NOT done")
         h *= 2
     state = reduce(DataFrame.unionByName, fixed)
-    return state.select("text_id", "pos", "rank").join(rows.drop("key"), ["text_id", "pos"]).select("text_id", "pos", "rank", "n", "sym", "prev")
+    return state.select("text_id", "pos", "rank").join(rows, ["text_id", "pos"]).select("text_id", "pos", "rank", "n", "sym", "prev", "key")
 
 
 def _within_text(sums: DataFrame, partitions: int | None) -> DataFrame:
@@ -191,7 +199,7 @@ def suffixes(texts: DataFrame, strategy: str = "auto", partitions: int | None =
     if strategy == "windows":
         return by_windows(texts).select(*columns)
     if strategy == "doubling":
-        return by_doubling(texts, partitions).select(*columns)
+        return by_doubling(texts, partitions, columns)
     if strategy != "auto":
         raise ValueError(f"no such strategy: {strategy}")
     size = F.octet_length("bytes")
@@ -199,7 +207,7 @@ def suffixes(texts: DataFrame, strategy: str = "auto", partitions: int | None =
     texts = spread(texts, total or 0)
     if (longest or 0) <= KERNEL_LIMIT:
         return by_kernel(texts, columns)
-    return by_kernel(texts.where(size <= KERNEL_LIMIT), columns).unionByName(by_doubling(texts.where(size > KERNEL_LIMIT), partitions).select(*columns))
+    return by_kernel(texts.where(size <= KERNEL_LIMIT), columns).unionByName(by_doubling(texts.where(size > KERNEL_LIMIT), partitions, columns))
 
 
 def suffix_array(texts: DataFrame, strategy: str = "auto") -> DataFrame:

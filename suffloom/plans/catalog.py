@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from suffloom.functions import codecs, strings
-from suffloom.operators import blocks, bwt, merging, search
+from suffloom.operators import blocks, bwt, index, merging, search
 from suffloom.operators import suffix_array as sa
 from suffloom.operators.shared import fresh_path, once, written
 from suffloom.sources import sa5
@@ -244,6 +244,32 @@ def pattern_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.pattern_positions(part_texts(spark, sf_dir), _patterns(spark))
 
 
+@_query(_PART + _PATTERN_SQL + "SELECT text_id, pat_id, pos, rank FROM isa JOIN pats ON starts_with(suffix, hex(encode(p)))")
+def pattern_locate_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By a stored index: a scan of runs of keys."""
+    stored = index.write_index(index.index_of(part_texts(spark, sf_dir)), fresh_path(spark, "index"))
+    return index.occurrences(stored, _patterns(spark))
+
+
+@_query(_PART + _PATTERN_SQL + "SELECT text_id, pat_id, min(rank) AS lo, max(rank) + 1 AS hi FROM isa JOIN pats ON starts_with(suffix, hex(encode(p))) GROUP BY ALL")
+def pattern_range_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = index.write_index(index.index_of(part_texts(spark, sf_dir)), fresh_path(spark, "index"))
+    return index.runs(stored, _patterns(spark))
+
+
+_LONG = ("the", "e of the", "benchmark", "question and the answer", "th", "zz")
+
+
+@_query(
+    "WITH joined AS (SELECT 0 AS id, string_agg(text, chr(10) ORDER BY item_id) AS t FROM benchmark WHERE text IS NOT NULL), pats AS (SELECT unnest(range(%d))::INT AS pat_id, unnest([%s]) AS p) " % (len(_LONG), ", ".join(f"'{p}'" for p in _LONG))
+    + "SELECT pat_id, count(*) FILTER (WHERE substr(t, i, strlen(p)) = p) AS cnt FROM pats, (SELECT t, unnest(range(1, length(t) + 1)) AS i FROM joined) GROUP BY pat_id"
+)
+def pattern_count_corpus_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In one text by distributed doubling and a stored index; patterns of several pieces."""
+    stored = index.write_index(index.index_of(benchmark_corpus(spark, sf_dir), "doubling"), fresh_path(spark, "index"))
+    return index.counts(stored, _patterns(spark, _LONG))
+
+
 _WORDS = ("e", "re", "tion", "the ", " of", "qu", "ción", "ß", "the and")
 
 
