@@ -35,15 +35,15 @@ _32 = np.uint64(32)
 def _packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
     """Ascending keys as differences, with their counts; planes of bytes compress well."""
     gaps = np.diff(keys.astype(np.uint64), prepend=np.uint64(0))
-    planes = gaps.view(np.uint8).reshape(-1, 8).T.tobytes() + counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    planes = gaps.view(np.uint8).reshape(-1, 8).T.tobytes() + counts.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
     return len(keys).to_bytes(8, "little") + zstandard.compress(planes, 1)
 
 
 def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = int.from_bytes(blob[:8], "little")
-    planes = zstandard.decompress(blob[8:], max_output_size=12 * n + 1)
+    planes = zstandard.decompress(blob[8:], max_output_size=16 * n + 1)
     gaps = np.frombuffer(planes, np.uint8, 8 * n).reshape(8, n).T.copy().view(np.uint64).reshape(n)
-    counts = np.frombuffer(planes, np.uint8, 4 * n, 8 * n).reshape(4, n).T.copy().view("<u4").reshape(n)
+    counts = np.frombuffer(planes, np.uint8, 8 * n, 8 * n).reshape(8, n).T.copy().view("<u8").reshape(n)
     return np.cumsum(gaps, dtype=np.uint64), counts
 
 
@@ -244,7 +244,7 @@ def count_pairs(train: DataFrame, store: ArrayStore, starts: np.ndarray, hot: np
         k = key[0].as_py()
         pairs, counts = _merged(part.column("blob").to_pylist())
         store.put(f"{k}.pairs", pairs.astype("<u8"))
-        store.put(f"{k}.paircounts", np.minimum(counts, 0xFFFFFFFF).astype("<u4"))
+        store.put(f"{k}.paircounts", counts.astype("<u4") if counts.max(initial=0) < 1 << 32 else counts.astype("<u8"))
         first, second = (pairs >> _32).astype(np.int64), pairs & _LOW
         spread = np.isin(first, hot)
         sums = np.zeros((4, int(starts[k + 1] - starts[k])), np.int64)
@@ -380,7 +380,8 @@ class Scorer:
             i = np.searchsorted(table_, keys[at])
             found = i < len(table_)
             found[found] = table_[i[found]] == keys[at][found]
-            counts[at[found]] = self.m.store.get(f"{k}.paircounts", "<u4")[i[found]]
+            raw = self.m.store.get(f"{k}.paircounts", "u1")
+            counts[at[found]] = raw.view("<u4" if len(raw) == 4 * len(table_) else "<u8")[i[found]]
         return counts[back]
 
     def score(self, texts: list[str | None]) -> dict[str, np.ndarray]:

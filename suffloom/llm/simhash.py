@@ -4,16 +4,18 @@ Fingerprints are indexed by their positional bytes. Two that differ in at most t
 at least six of eight bytes at the same positions, and so at least two of four byte pairs: each
 distinct fingerprint is posted under the six couples of its byte pairs. Fingerprints in one
 posting list are paired, their shared positional bytes tallied, pairs under the guaranteed
-minimum dropped, and the others verified. A list that is too long for pairs is handled exactly
-by another way: its members meet at the fingerprints one bit away, which takes 65 rows for each
-member instead of a square.
+minimum dropped, and the others verified. Members of lists that are too long for pairs, as all
+become when there are very many fingerprints, are posted again under longer keys: the 28 choices of
+six bytes of eight, of which two that are close share one. At most 2**16 fingerprints can share such a
+key; should its list still be too long, its members meet at the fingerprints one bit away,
+which is exact, too, and takes 65 rows for each member instead of a square.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from functools import partial
-from itertools import accumulate
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -75,15 +77,15 @@ def fingerprints(documents: DataFrame, key: str = "doc_id", width: int = 3) -> D
     return documents.select(key, documents["text"].cast("string").alias("text")).mapInArrow(run, f"`{key}` {kind}, fp bigint")
 
 
-_COUPLES = [(i, j) for i in range(4) for j in range(i + 1, 4)]
+def _masks(bytes_: list[tuple[int, ...]]) -> list[int]:
+    """Masks of the bytes at the given places, as signed longs."""
+    out = [sum(0xFF << (8 * i) for i in places) for places in bytes_]
+    return [x - (1 << 64) if x >> 63 else x for x in out]
 
 
-def _byte_pair(fp: str, i: int) -> Column:
-    return F.shiftrightunsigned(F.col(fp), 16 * i).bitwiseAND(0xFFFF)
-
-
-def _same_pair(i: int) -> Column:
-    return _byte_pair("x", i) == _byte_pair("y", i)
+#: Two of four byte pairs; six of eight bytes.
+_SHORT = _masks([(2 * i, 2 * i + 1, 2 * j, 2 * j + 1) for i, j in combinations(range(4), 2)])
+_LONG = _masks(list(combinations(range(8), 6)))
 
 
 def shared_bytes(a: str, b: str) -> Column:
@@ -92,28 +94,39 @@ def shared_bytes(a: str, b: str) -> Column:
     return sum((F.shiftrightunsigned(xor, 8 * i).bitwiseAND(0xFF) == 0).cast("int") for i in range(8))
 
 
+def _paired(distinct: DataFrame, masks: list[int], bits: int, longest: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """(a, b) of verified pairs in posting lists of up to `longest` fingerprints, each pair once for all its
+    lists; and the distinct members of longer lists. A posting's key is the fingerprint's bytes under a mask."""
+    posting = F.array(*(F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("p")) for k, m in enumerate(masks)))
+    posted = distinct.select("fp", F.explode(posting).alias("at")).select("fp", "at.*")
+    sizes = posted.groupBy("k", "p").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    posted = written(posted.join(sizes, ["k", "p"]), name)
+    lists = posted.where(F.col("n") <= longest).groupBy("k", "p").agg(F.sort_array(F.collect_list("fp")).alias("l"))
+    x = lists.select("k", "l", F.posexplode("l").alias("i", "x")).select("k", "x", F.explode(F.slice("l", F.col("i") + 2, longest)).alias("y"))
+    differ = F.col("x").bitwiseXOR(F.col("y"))
+    first = F.coalesce(*(F.when(differ.bitwiseAND(F.lit(m).cast("long")) == 0, k) for k, m in enumerate(masks)))  # a pair counts in the first list that holds it
+    pairs = x.where((first == F.col("k")) & (shared_bytes("x", "y") >= 8 - bits) & (F.bit_count(differ) <= bits)).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return pairs, posted.where(F.col("n") > longest).select("fp").distinct()
+
+
 def links(distinct: DataFrame, bits: int = 2, longest: int = 32) -> DataFrame:
     """(a, b): links between the column `fp` of distinct fingerprints, enough to join all that
     differ in at most `bits` bits (0 to 2), directly or over others at such a distance.
 
     Posting lists of up to `longest` fingerprints give their verified pairs. Members of longer
-    lists meet at their neighbours one bit away: two that meet differ in at most two bits, and
-    two that differ in at most two bits meet.
+    lists are posted under longer keys. If a pair's first list is long, both are members of a long list
+    and meet in the next step, where it counts once more at most. In the last step two that
+    meet differ in at most two bits, and two that differ in at most two bits meet.
     """
     if not 0 <= bits <= 2:
         raise ValueError("the index guarantees shared bytes for up to 2 bits")
-    posting = F.array(*(F.struct(F.lit(k).alias("k"), _byte_pair("fp", i).alias("p"), _byte_pair("fp", j).alias("q")) for k, (i, j) in enumerate(_COUPLES)))
-    posted = distinct.select("fp", F.explode(posting).alias("at")).select("fp", "at.*")
-    sizes = posted.groupBy("k", "p", "q").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    posted = written(posted.join(sizes, ["k", "p", "q"]), "postings")
-    lists = posted.where(F.col("n") <= longest).groupBy("k", "p", "q").agg(F.sort_array(F.collect_list("fp")).alias("l"))
-    x = lists.select("k", "l", F.posexplode("l").alias("i", "x")).select("k", "x", F.explode(F.slice("l", F.col("i") + 2, longest)).alias("y"))
-    first = F.coalesce(*(F.when(_same_pair(i) & _same_pair(j), k) for k, (i, j) in enumerate(_COUPLES)))  # a pair counts in the first list that holds it
-    pairs = x.where((first == F.col("k")) & (shared_bytes("x", "y") >= 8 - bits) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= bits)).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    # If a pair's first list is long, both are members of a long list and meet below.
-    hot = posted.where(F.col("n") > longest).select("fp").distinct()
+    pairs, hot = _paired(distinct, _SHORT, bits, longest, "postings")
     if bits == 0 or hot.isEmpty():
         return pairs
+    more, hot = _paired(written(hot, "members"), _LONG, bits, longest, "long-postings")
+    pairs = pairs.unionByName(more)
+    if hot.isEmpty():
+        return pairs
     flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)))
     near = hot.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("flip").bitwiseXOR(F.col("fp")).alias("at"))
     if bits == 1:

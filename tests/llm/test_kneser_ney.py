@@ -91,3 +91,22 @@ def test_blobs():
 def test_discounts():
     assert discounts([100, 40, 20, 10]).tolist() == pytest.approx([0, 1 - 2 * (100 / 180) * 0.4, 2 - 3 * (100 / 180) * 0.5, 3 - 4 * (100 / 180) * 0.5])
     assert discounts([3, 0, 1, 1]).tolist() == [0, 0.5, 1, 1.5]
+
+
+def test_counts_past_32_bits(spark, tmp_path):
+    """Kept in 64 bits where they don't fit 32, in what is shuffled and in what is looked up."""
+    from suffloom.llm.kneser_ney import Model, Scorer
+    from suffloom.llm.store import ArrayStore
+
+    keys, counts = np.array([3, 9, 2**63], np.uint64), np.array([1, 2**33 + 5, 7], np.int64)
+    got = _unpacked(_packed(keys, counts))
+    assert got[0].tolist() == keys.tolist() and got[1].tolist() == counts.tolist()
+    for kind in ("<u4", "<u8"):
+        store = ArrayStore(str(tmp_path / kind[1:]))
+        some = np.array([0, 1, 1 << 32], np.uint64)
+        store.put("0.words", np.array([5, 6], "<u8"))
+        store.put("0.pairs", some)
+        store.put("0.paircounts", np.array([4, 2**33 if kind == "<u8" else 9, 2], kind))
+        scorer = Scorer.__new__(Scorer)
+        scorer.m, scorer.hot = Model(store, np.array([0, 2]), 10, np.zeros(4), np.zeros(4), 0, (0, 0, 0)), np.zeros(0, np.int64)
+        assert scorer._pair_counts(np.array([1, 1 << 32, 7, 1], np.uint64)).tolist() == [2**33 if kind == "<u8" else 9, 2, 0, 2**33 if kind == "<u8" else 9]
