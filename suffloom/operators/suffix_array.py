@@ -9,17 +9,18 @@ holds a suffix' first seven symbols as a number.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from suffloom.functions.kernel import FIRST_SYMBOLS, first_keys, sort_suffixes
 from suffloom.operators.ranking import prefix_sums
-from suffloom.operators.shared import written
+from suffloom.operators.shared import fresh_path, written
 from suffloom.shipping import ship
+from suffloom.sources.arrays import ArrayStore
 
 #: Longer texts aren't sorted by one task.
 KERNEL_LIMIT = 8 << 20
@@ -147,46 +148,101 @@ def of_chunks(chunks: DataFrame, partitions: int | None = None, columns: list[st
     return _doubled(chunks.mapInArrow(_keys_of_chunks, _KEYED), partitions).select(*(columns or [x.split(" ")[0] for x in SCHEMA.split(", ")]))
 
 
+#: Ranks to a file.
+_BLOCK = 1 << 22
+
+
+def _with_ranks(rows: DataFrame, ranks: DataFrame, on: list[str], total: int) -> DataFrame:
+    """rows with the columns of ranks (on, count, ...). Keys that many rows share, of which there are few, are broadcast;
+    a shuffle spreads the others evenly."""
+    limit = max(64, total // 4096)
+    heavy = F.broadcast(ranks.where(F.col("count") > limit))  # fewer than 4096 rows
+    return rows.join(heavy, on).unionByName(rows.join(heavy.select(*on), on, "left_anti").join(ranks.where(F.col("count") <= limit), on))
+
+
+class _Ranks:
+    """Ranks by position, in files of the shared folder that tasks map: one for each run of _BLOCK positions."""
+
+    def __init__(self, store: ArrayStore, size: int):
+        self.store, self.size = store, size
+
+    def put(self, rows: DataFrame) -> DataFrame:
+        """Enters the ranks of rows (at, end, rank, done). Returns those that aren't done, block by block. A task run twice enters the same."""
+        store, size = self.store, self.size
+
+        def run(key: tuple, part: pa.Table) -> pa.Table:
+            k = key[0].as_py()
+            at = part.column("at").to_numpy() - k * _BLOCK
+            n = min(_BLOCK, size - k * _BLOCK)
+            ranks = np.zeros(n, "<i8") if len(at) == n else np.array(store.get(str(k), "<i8"))
+            ranks[at] = part.column("rank").to_numpy()
+            store.put(str(k), ranks)
+            left = part.filter(pc.invert(part.column("done")))
+            return left.select(["at", "end", "rank"])
+
+        block = F.floor(F.col("at") / _BLOCK).alias("block")
+        return written(rows.select("at", "end", "rank", "done", block).groupBy("block").applyInArrow(run, "at bigint, end bigint, rank bigint"), "open")
+
+    def at(self, places: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(places), np.int64)
+        block = places // _BLOCK
+        for k in np.unique(block):
+            here = block == k
+            out[here] = self.store.get(str(k), "<i8")[places[here] - k * _BLOCK]
+        return out
+
+
 def _doubled(keyed: DataFrame, partitions: int | None) -> DataFrame:
     """No task holds a text, however long its repeats.
 
-    Ranks are counts of lesser keys, so that a key that many suffixes share is one row. Each
-    round looks up the rank h further on, by a join on the position, and ranks anew only
-    suffixes that still share theirs. Rounds: about log2 of the longest repeat over seven.
+    Ranks are counts of lesser keys, so that a key that many suffixes share is one row. Texts lie end to
+    end, and ranks by place in files. Each round takes only suffixes that still share their rank: it looks up
+    the rank h further on in the files, ranks them anew by both and enters their new ranks. What is
+    settled is neither read again nor shuffled. Rounds: about log2 of the longest repeat over seven.
     """
     rows = written(keyed, "symbols")
+    spark = rows.sparkSession
     if partitions is None:  # as many as hold 64 MiB of the written rows each
-        conf = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        conf = int(spark.conf.get("spark.sql.shuffle.partitions"))
         partitions = max(conf, int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >> 26)
+    sizes = rows.where("pos = 0").select("text_id", "n")
+    bases = written(prefix_sums(sizes, ["text_id"], "n", "base", partitions).select("text_id", "base"), "bases")
+    total = rows.count()
+    ranks = _Ranks(ArrayStore(fresh_path(spark, "ranks")), total)
     counts = rows.groupBy("text_id", "key").agg(F.count("*").alias("count"))
-    ranks = _within_text(prefix_sums(counts, ["text_id", "key"], "count", "before", partitions), partitions)
-    ranked = rows.select("text_id", "pos", "n", "key").join(ranks.select("text_id", "key", "rank", "count"), ["text_id", "key"])
-    state = written(ranked.select("text_id", "pos", "n", "rank", (F.col("count") == 1).alias("done")), "ranks")
-    fixed, open_ = [state.where("done")], state.where("NOT done")
+    first = written(prefix_sums(counts, ["text_id", "key"], "count", "rank", partitions), "sums")
+    placed = rows.select("text_id", "pos", "n", "key").join(bases, "text_id").select("text_id", "key", (F.col("base") + F.col("pos")).alias("at"), (F.col("base") + F.col("n")).alias("end"))
+    done = (F.col("count") == 1).alias("done")
+    open_ = ranks.put(_with_ranks(placed, first, ["text_id", "key"], total).select("at", "end", "rank", done))
     h = FIRST_SYMBOLS
     while not open_.isEmpty():
-        # Inner, and keyed on the open rows' side: when few are left, they are broadcast and the rest isn't shuffled.
-        found = reduce(DataFrame.unionByName, [*fixed, open_]).select("text_id", F.col("pos").alias("after"), (F.col("rank") + 1).alias("second"))
-        ahead = open_.where(F.col("pos") + h < F.col("n")).withColumn("after", F.col("pos") + h).join(found, ["text_id", "after"]).drop("after")
-        last = open_.where(F.col("pos") + h >= F.col("n")).withColumn("second", F.lit(0).cast("long"))
-        keyed_again = written(ahead.unionByName(last).drop("done"), "open")
-        group = ["text_id", "rank"]
-        sums = written(prefix_sums(keyed_again.groupBy(*group, "second").agg(F.count("*").alias("count")), [*group, "second"], "count", "before", partitions), "sums")
-        base = sums.groupBy(*group).agg(F.min("before").alias("base"))
-        new = sums.join(base, group).select(*group, "second", (F.col("rank") + F.col("before") - F.col("base")).alias("new"), (F.col("count") == 1).alias("done"))
-        moved = written(keyed_again.join(new, [*group, "second"]).select("text_id", "pos", "n", F.col("new").alias("rank"), "done"), "ranks")
-        fixed.append(moved.where("done"))
-        open_ = moved.where("NOT done")
+
+        def ahead(batches: Iterable[pa.RecordBatch], h: int = h) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                after = b.column("at").to_numpy() + h
+                second = np.zeros(len(after), np.int64)
+                inside = after < b.column("end").to_numpy()
+                second[inside] = ranks.at(after[inside]) + 1
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(second)], names=["at", "end", "rank", "second"])
+
+        seconds = written(open_.select("at", "end", "rank").mapInArrow(ahead, "at bigint, end bigint, rank bigint, second bigint"), "seconds")
+        sums = written(prefix_sums(seconds.groupBy("rank", "second").agg(F.count("*").alias("count")), ["rank", "second"], "count", "before", partitions), "sums")
+        base = sums.groupBy("rank").agg(F.min("before").alias("base"))
+        new = written(sums.join(base, "rank").select("rank", "second", "count", (F.col("rank") + F.col("before") - F.col("base")).alias("new")), "new")
+        moved = _with_ranks(seconds, new, ["rank", "second"], total)
+        open_ = ranks.put(moved.select("at", "end", F.col("new").alias("rank"), done))
         h *= 2
-    state = reduce(DataFrame.unionByName, fixed)
-    return state.select("text_id", "pos", "rank").join(rows, ["text_id", "pos"]).select("text_id", "pos", "rank", "n", "sym", "prev", "key")
 
+    def ranked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            base = b.column("base").to_numpy()
+            rank = ranks.at(base + b.column("pos").to_numpy()) - base
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(rank)], names=[*kept, "rank"])
 
-def _within_text(sums: DataFrame, partitions: int | None) -> DataFrame:
-    """Global prefix sums made relative to their text."""
-    sums = written(sums, "sums")
-    base = sums.groupBy("text_id").agg(F.min("before").alias("base"))
-    return sums.join(base, "text_id").withColumn("rank", F.col("before") - F.col("base"))
+    kept = ["text_id", "pos", "n", "sym", "prev", "key"]
+    out = rows.join(F.broadcast(bases) if bases.count() <= 100_000 else bases, "text_id").select(*kept, "base")
+    out = out.mapInArrow(ranked, "text_id bigint, pos bigint, n bigint, sym int, prev int, key bigint, rank bigint")
+    return out.select("text_id", "pos", "rank", "n", "sym", "prev", "key")
 
 
 def suffixes(texts: DataFrame, strategy: str = "auto", partitions: int | None = None, columns: list[str] | None = None) -> DataFrame:
