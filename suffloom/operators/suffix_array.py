@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from suffloom.functions.kernel import FIRST_SYMBOLS, first_keys, sort_suffixes
 from suffloom.operators.ranking import prefix_sums
-from suffloom.operators.shared import fresh_path, written
+from suffloom.operators.shared import fresh_path, recorded, remove, written
 from suffloom.shipping import ship
 from suffloom.sources.arrays import ArrayStore
 
@@ -209,11 +209,12 @@ def _doubled(keyed: DataFrame, partitions: int | None) -> DataFrame:
     bases = written(prefix_sums(sizes, ["text_id"], "n", "base", partitions).select("text_id", "base"), "bases")
     total = rows.count()
     ranks = _Ranks(ArrayStore(fresh_path(spark, "ranks")), total)
+    done = (F.col("count") == 1).alias("done")
     counts = rows.groupBy("text_id", "key").agg(F.count("*").alias("count"))
-    first = written(prefix_sums(counts, ["text_id", "key"], "count", "rank", partitions), "sums")
     placed = rows.select("text_id", "pos", "n", "key").join(bases, "text_id").select("text_id", "key", (F.col("base") + F.col("pos")).alias("at"), (F.col("base") + F.col("n")).alias("end"))
-    done = (F.col("count") == 1).alias("done")
-    open_ = ranks.put(_with_ranks(placed, first, ["text_id", "key"], total).select("at", "end", "rank", done))
+    with recorded() as made:
+        first = written(prefix_sums(counts, ["text_id", "key"], "count", "rank", partitions), "sums")
+        open_ = ranks.put(_with_ranks(placed, first, ["text_id", "key"], total).select("at", "end", "rank", done))
     h = FIRST_SYMBOLS
     while not open_.isEmpty():
 
@@ -225,12 +226,12 @@ def _doubled(keyed: DataFrame, partitions: int | None) -> DataFrame:
                 second[inside] = ranks.at(after[inside]) + 1
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(second)], names=["at", "end", "rank", "second"])
 
-        seconds = written(open_.select("at", "end", "rank").mapInArrow(ahead, "at bigint, end bigint, rank bigint, second bigint"), "seconds")
-        sums = written(prefix_sums(seconds.groupBy("rank", "second").agg(F.count("*").alias("count")), ["rank", "second"], "count", "before", partitions), "sums")
-        base = sums.groupBy("rank").agg(F.min("before").alias("base"))
-        new = written(sums.join(base, "rank").select("rank", "second", "count", (F.col("rank") + F.col("before") - F.col("base")).alias("new")), "new")
-        moved = _with_ranks(seconds, new, ["rank", "second"], total)
-        open_ = ranks.put(moved.select("at", "end", F.col("new").alias("rank"), done))
+        *over, last = made
+        for path in over:  # the open rows were written last; what they came from has served
+            remove(spark, path)
+        with recorded() as made:
+            open_ = _round(open_, ahead, ranks, total, partitions)
+        made.insert(0, last)
         h *= 2
 
     def ranked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,6 +246,16 @@ def _doubled(keyed: DataFrame, partitions: int | None) -> DataFrame:
     return out.select("text_id", "pos", "rank", "n", "sym", "prev", "key")
 
 
+def _round(open_: DataFrame, ahead: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], ranks: _Ranks, total: int, partitions: int) -> DataFrame:
+    """Ranks the open suffixes by their rank and the one further on; returns those that are still open."""
+    seconds = written(open_.select("at", "end", "rank").mapInArrow(ahead, "at bigint, end bigint, rank bigint, second bigint"), "seconds")
+    sums = written(prefix_sums(seconds.groupBy("rank", "second").agg(F.count("*").alias("count")), ["rank", "second"], "count", "before", partitions), "sums")
+    base = sums.groupBy("rank").agg(F.min("before").alias("base"))
+    new = written(sums.join(base, "rank").select("rank", "second", "count", (F.col("rank") + F.col("before") - F.col("base")).alias("new")), "new")
+    moved = _with_ranks(seconds, new, ["rank", "second"], total)
+    return ranks.put(moved.select("at", "end", F.col("new").alias("rank"), (F.col("count") == 1).alias("done")))
+
+
 def suffixes(texts: DataFrame, strategy: str = "auto", partitions: int | None = None, columns: list[str] | None = None) -> DataFrame:
     """The table that all operators start from, or those of its columns that are asked for. strategy: kernel, windows, doubling, or auto, which takes
     the kernel unless a text is longer than KERNEL_LIMIT bytes; then that text is doubled and the
