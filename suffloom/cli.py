@@ -21,11 +21,14 @@ def main(args: list[str] | None = None) -> int:
     parser.add_argument("-o", "--output", help="default: FILE.sa5")
     parser.add_argument("-m", "--memory", type=parse_size, default=parse_size("3584Mi"), help="a hint: Spark's own settings decide; units k, M, G, T and Ki, Mi, Gi, Ti")
     parser.add_argument("-f", "--force", action="store_true", help="overwrite the output")
+    parser.add_argument("-g", "--gap", metavar="FOLDER", help="where intermediate tables go, if spark.checkpoint.dir is unset; a folder that driver and executors share")
     parser.add_argument("-v", "--verbose", action="store_true", help="show the plan")
     parser.add_argument("--strategy", choices=["auto", "kernel", "windows", "doubling"], default="auto")
     parser.add_argument("--delete-byte", type=int, metavar="BYTE", help="write the file without this byte to standard output instead")
     options = parser.parse_args(args)
     spark = SparkSession.builder.appName("suffloom").getOrCreate()
+    if options.gap:
+        spark.sparkContext.setCheckpointDir(options.gap)
     files = spark.read.format("binaryFile").load(options.file)
     texts = files.select(F.lit(0).cast("long").alias("text_id"), F.col("content").alias("bytes"))
     if options.delete_byte is not None:
