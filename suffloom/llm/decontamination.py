@@ -182,13 +182,13 @@ def _weighted(passages: list[Passage], terms: dict[bytes, int], idf: np.ndarray)
     return np.array(rows), np.array(cols), np.concatenate(weights)
 
 
-def fit_space(documents: DataFrame, passages: list[Passage], rank: int = 192, seed: int = 1, most_fitted: int = 250_000) -> Space:
+def fit_space(documents: DataFrame, passages: list[Passage], rank: int = 192, seed: int = 1, most_fitted: int | None = None) -> Space:
     """The latent space. rank: at most so many dimensions, or as many as there are passages.
 
-    IDF counts all documents' passages. M = A'A + w B'B, with A about `most_fitted` of them, chosen
-    by a hash over all documents, and B the benchmark's passages, weighed to the same energy. The
-    range finder starts from random mixtures of B's rows, goes once through M, and the eigenvectors
-    of M within that range are the right singular vectors. All passages are searched.
+    IDF counts all documents' passages. M = A'A + w B'B, with A all of them, too, and B the benchmark's
+    passages, weighed to the same energy. The range finder starts from random mixtures of B's rows,
+    goes once through M, and the eigenvectors of M within that range are the right singular vectors.
+    All passages are searched. most_fitted: if given, A has about so many passages, chosen by a hash.
     """
     spark = documents.sparkSession
     terms = choose_terms(passages)
@@ -207,9 +207,9 @@ def fit_space(documents: DataFrame, passages: list[Passage], rank: int = 192, se
     rng = np.random.default_rng(seed)
     start = np.zeros((n_terms, rank))
     np.add.at(start, term_, weight_[:, None] * rng.standard_normal((len(passages), rank))[rows])
-    every = max(1, -(-n // most_fitted))
+    every = 1 if most_fitted is None else max(1, -(-n // most_fitted))
 
-    def through(basis: np.ndarray) -> Callable[[np.ndarray, bytes], None]:
+    def through(basis: np.ndarray, back: bool) -> Callable[[np.ndarray, bytes], None]:
         basis = basis.astype(np.float32)
 
         def add(total: np.ndarray, blob: bytes) -> None:
@@ -220,8 +220,8 @@ def fit_space(documents: DataFrame, passages: list[Passage], rank: int = 192, se
                 where, term, count_ = where[chosen], term[chosen], count_[chosen]
             if not len(where):
                 return
-            cuts = np.flatnonzero(np.concatenate([[True], where[1:] // 1024 != where[:-1] // 1024, [True]]))
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):  # a thousand passages at a time: their rows are wide
+            cuts = np.flatnonzero(np.concatenate([[True], where[1:] // 256 != where[:-1] // 256, [True]]))
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):  # a few passages at a time: their rows are wide
                 some(total, where[a:b], term[a:b], count_[a:b])
 
         def some(total: np.ndarray, where: np.ndarray, term: np.ndarray, count_: np.ndarray) -> None:
@@ -230,18 +230,21 @@ def fit_space(documents: DataFrame, passages: list[Passage], rank: int = 192, se
             norm = np.sqrt(np.add.reduceat(weight * weight, first))
             size = np.diff(np.append(first, len(where)))
             weight /= np.repeat(norm, size)
-            low = np.add.reduceat(weight[:, None] * basis[term], first, axis=0)
-            if total.shape[0] == n_terms:
-                back = np.repeat(low, size, axis=0) * weight[:, None]
+            wide = basis[term]
+            wide *= weight[:, None]
+            low = np.add.reduceat(wide, first, axis=0)
+            if back:
                 order = np.argsort(term, kind="stable")
+                np.take(low, np.repeat(np.arange(len(first)), size)[order], axis=0, out=wide)
+                wide *= weight[order][:, None]
                 start_ = _runs(term[order])
-                total[term[order][start_]] += np.add.reduceat(back[order], start_, axis=0)
+                total[term[order][start_]] += np.add.reduceat(wide, start_, axis=0)
             else:
                 total += low.T @ low
 
         return add
 
-    y = _sum_over(blobs, (n_terms, rank), through(start / np.sqrt((start * start).sum(0))))
+    y = _sum_over(blobs, (n_terms, rank), through(start / np.sqrt((start * start).sum(0)), True))
     bulk = float(n) / every / max(len(passages), 1)
 
     def orthonormal() -> np.ndarray:
@@ -249,7 +252,7 @@ def fit_space(documents: DataFrame, passages: list[Passage], rank: int = 192, se
         return np.linalg.qr(whole)[0]
 
     q = _on_worker(spark, orthonormal, (n_terms, rank))
-    gram = _sum_over(blobs, (rank, rank), through(q), rows=rank)
+    gram = _sum_over(blobs, (rank, rank), through(q, False), rows=rank)
 
     def rotate() -> np.ndarray:
         bq = np.add.reduceat(weight_[:, None] * q[term_], first_, axis=0)

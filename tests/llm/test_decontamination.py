@@ -78,6 +78,30 @@ def test_recall_of_the_latent_space(planted):
     assert wanted >= 60 and found >= 0.9 * wanted
 
 
+def test_all_passages_are_fitted(spark):
+    """260,000 passages of six kinds: the space's vectors are the eigenvectors of M over every one of them."""
+    from pyspark.sql import functions as F
+
+    kinds = ["ka lo", "lo mi mi", "mi ru te", "te sa", "sa ka ka no", "no ru lo"]
+    shares = [37, 20, 17, 11, 9, 6]
+    passages = benchmark_passages(list(enumerate(kinds)))
+    text = F.expr("elt(" + ", ".join(["1 + " + " + ".join(f"int(id % 100 >= {sum(shares[:k])})" for k in range(1, 6)), *(f"'{x}'" for x in kinds)]) + ")")
+    n = 260_000
+    space = fit_space(spark.range(n).select(F.col("id").alias("doc_id"), text.alias("text")), passages)
+    x = np.zeros((6, len(space.terms)))
+    for i, kind in enumerate(kinds):
+        for w in kind.encode().split():
+            x[i, space.terms[w]] += space.idf[space.terms[w]]
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    m = (x.T * (np.array(shares) * n / 100)) @ x + n / 6 * (x.T @ x)
+    v = space.vectors / space.idf[:, None]
+    turned = v.T @ m @ v
+    along = np.diag(turned)
+    assert len(along) == len(space.terms) == 7
+    assert along[:6] == pytest.approx(np.linalg.eigvalsh(m)[::-1][:6], rel=1e-4)
+    assert np.abs(turned - np.diag(along)).max() < 1e-4 * along[0]
+
+
 def test_common_weight_by_brute_force():
     rnd = random.Random(1)
     for _ in range(200):
