@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from suffloom.llm import decontamination
 from suffloom.llm.decontamination import Searcher, benchmark_passages, common_weight, drop_leaks, find_leaks, fit_space, plain_words
 from tests.llm.conftest import EN, plain, prose
 
@@ -78,16 +79,21 @@ def test_recall_of_the_latent_space(planted):
     assert wanted >= 60 and found >= 0.9 * wanted
 
 
-def test_all_passages_are_fitted(spark):
-    """260,000 passages of six kinds: the space's vectors are the eigenvectors of M over every one of them."""
+@pytest.mark.parametrize("stage", [False, True])
+def test_all_passages_are_fitted(spark, monkeypatch, stage):
+    """260,000 passages of six kinds: the space's vectors are the eigenvectors of M over every one of them,
+    for the query's operator and for the pipeline's stage."""
     from pyspark.sql import functions as F
 
+    spaces = []
+    monkeypatch.setattr(decontamination, "_leaks_of", lambda source, fitted, key, item, arrow, schema, bounds: spaces.append(fitted) or spark.createDataFrame([], schema))
+    monkeypatch.setattr(decontamination, "_dropped", lambda documents, fitted, bounds: spaces.append(fitted) or documents)
     kinds = ["ka lo", "lo mi mi", "mi ru te", "te sa", "sa ka ka no", "no ru lo"]
     shares = [37, 20, 17, 11, 9, 6]
-    passages = benchmark_passages(list(enumerate(kinds)))
     text = F.expr("elt(" + ", ".join(["1 + " + " + ".join(f"int(id % 100 >= {sum(shares[:k])})" for k in range(1, 6)), *(f"'{x}'" for x in kinds)]) + ")")
     n = 260_000
-    space = fit_space(spark.range(n).select(F.col("id").alias("doc_id"), text.alias("text")), passages)
+    (drop_leaks if stage else find_leaks)(spark.range(n).select(F.col("id").alias("doc_id"), text.alias("text")), spark.createDataFrame(enumerate(kinds), "item_id bigint, text string"))
+    [space] = spaces
     x = np.zeros((6, len(space.terms)))
     for i, kind in enumerate(kinds):
         for w in kind.encode().split():
