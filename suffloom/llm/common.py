@@ -73,6 +73,13 @@ def kept_in_worker(key: object, make: Callable[[], object]) -> object:
     return _KEPT[key]
 
 
+def forget_kept() -> None:
+    """Frees what another operator has left in this worker; for tasks that need memory of their own and keep nothing."""
+    if _KEPT:
+        _KEPT.clear()
+        release_memory()
+
+
 def text_batches(batches: Iterable[pa.RecordBatch], limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches into runs of rows with about `limit` bytes of text; a longer text stays alone.
     After the last one, freed memory is handed back."""
