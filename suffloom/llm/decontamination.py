@@ -297,6 +297,7 @@ class Searcher:
                     self.common[i] += x
             self.bags.append(dict(bag))
         self.total = np.array([w.sum() for w in self.weights])
+        self.needed = ((paraphrase - 1e-6) * self.total - self.common).tolist()  # of a bag
         self.least = min((len({w for w in p.words if w in space.terms}) for p in space.passages), default=1)
         self.points = np.ascontiguousarray(space.points.T)
         self.rows = max(1, (1 << 21) // max(1, len(space.passages)))  # windows compared at once
@@ -306,37 +307,49 @@ class Searcher:
         none = (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.float32),)
         if not len(at):
             return none
-        block = at // STRIDE
-        window = np.concatenate([block, block - 1])
-        term = np.concatenate([ids, ids])
-        ok = window >= 0
-        window, term = window[ok], term[ok]
-        order = np.argsort(window, kind="stable")
-        window, term = window[order], term[order]
-        first = _runs(window)
-        n = np.diff(np.append(first, len(window)))
-        enough = n >= min(2, self.least)
+        block = at // STRIDE  # a window is two blocks: each block's terms are summed up once
+        first = _runs(block)
+        blocks, n = block[first], np.append(np.diff(np.append(first, len(at))), 0)
+        window = np.unique(np.concatenate([blocks, blocks - 1]))
+        window = window[window >= 0]
+        left, right = (np.minimum(np.searchsorted(blocks, w), len(blocks) - 1) for w in (window, window + 1))
+        left[blocks[left] != window] = len(blocks)
+        right[blocks[right] != window + 1] = len(blocks)
+        enough = n[left] + n[right] >= min(2, self.least)
         if not enough.any():
             return none
-        if not enough.all():
-            keep = np.repeat(enough, n)
-            window, term = window[keep], term[keep]
-            first = _runs(window)
-        points = np.add.reduceat(self.s.vectors[term], first, axis=0)
+        window, left, right = window[enough], left[enough], right[enough]
+        sums = np.zeros((len(blocks) + 1, self.s.vectors.shape[1]), np.float32)
+        np.add.reduceat(self.s.vectors[ids], first, axis=0, out=sums[:-1])
+        points = sums[left]
+        points += sums[right]
         points /= np.maximum(np.sqrt((points * points).sum(1, keepdims=True)), 1e-9)
         found = []
         for k in range(0, len(points), self.rows):
             near = points[k : k + self.rows] @ self.points
             i, j = np.nonzero(near >= self.cosine)
-            found.append((window[first[k + i]], j, near[i, j]))
+            found.append((window[k + i], j, near[i, j]))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     def possible(self, at: np.ndarray, ids: np.ndarray, window: int, passage: int) -> bool:
         """Whether the words around the window can hold enough of the passage in any order: no subsequence weighs more."""
-        a, b = np.searchsorted(at, [window * STRIDE - STRIDE, window * STRIDE + WINDOW + STRIDE])
-        bag = self.bags[passage]
-        held = sum(bag[t] for t in set(ids[a:b].tolist()) if t in bag) + self.common[passage]
-        return held >= (self.paraphrase - 1e-6) * self.total[passage]
+        return any(self.all_possible(at, ids, np.array([window]), np.array([passage]), np.zeros(1)))
+
+    def all_possible(self, at: np.ndarray, ids: np.ndarray, windows: np.ndarray, passages: np.ndarray, cosines: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        """The pairs of candidates() that are possible()."""
+        listed = ids.tolist()
+        begin = np.searchsorted(at, windows * STRIDE - STRIDE).tolist()
+        end = np.searchsorted(at, windows * STRIDE + WINDOW + STRIDE).tolist()
+        last, terms = -1, set()
+        for a, b, w, p, c in zip(begin, end, windows.tolist(), passages.tolist(), cosines.tolist(), strict=True):
+            if w != last:
+                last, terms = w, set(listed[a:b])
+            bag, held = self.bags[p], 0.0
+            for t in terms:
+                if t in bag:
+                    held += bag[t]
+            if held >= self.needed[p]:
+                yield w, p, c
 
     def verify(self, words: list[bytes], window: int, passage: int) -> tuple[float, float]:
         """Shares of the weight of the passage, and of its answer, that the words around the window hold in order."""
@@ -355,9 +368,7 @@ class Searcher:
             at = np.flatnonzero(ids >= 0)
             best: dict[int, tuple[float, float, float, int]] = {}
             ids = ids[at]
-            for w, p, c in zip(*(x.tolist() for x in self.candidates(len(words), at, ids)), strict=True):
-                if not self.possible(at, ids, w, p):
-                    continue
+            for w, p, c in self.all_possible(at, ids, *self.candidates(len(words), at, ids)):
                 whole, end = self.verify(words, w, p)
                 if whole >= self.share or (whole >= self.paraphrase and end >= self.answer):
                     item = self.s.passages[p].item

@@ -155,3 +155,34 @@ def test_large_benchmarks_go_in_parts(spark, planted):
     assert whole and plain(find_leaks(some, benchmark, most_benchmark_bytes=size - 1), *cols) == whole
     kept = {r["doc_id"] for r in drop_leaks(some, benchmark, most_benchmark_bytes=size - 1).select("doc_id").collect()}
     assert kept == {r["doc_id"] for r in some.select("doc_id").collect()} - {x[0] for x in whole}
+
+
+def test_windows_share_the_sums_of_their_blocks():
+    """Candidates are those of every window by itself, and each term's vector is read once, not once for each of its windows."""
+
+    class Counted:
+        read, shape = 0, (40, 8)
+        rows = np.random.default_rng(2).standard_normal((40, 8)).astype(np.float32)
+
+        def __getitem__(self, at):
+            self.read += len(at)
+            return self.rows[at]
+
+    rng = np.random.default_rng(1)
+    terms = {b"t%d" % i: i for i in range(40)}
+    passages = [decontamination.Passage(i, [b"t%d" % t for t in rng.integers(0, 40, 6)], 3) for i in range(9)]
+    points = rng.standard_normal((9, 8)).astype(np.float32)
+    points /= np.sqrt((points * points).sum(1, keepdims=True))
+    vectors = Counted()
+    searcher = Searcher(decontamination.Space(terms, np.ones(40), vectors, passages, points), 0.4, 0.6, 0.45, 0.8)
+    at = np.flatnonzero(rng.random(2000) < np.repeat(rng.choice([0, 0.01, 0.3], 20), 100))
+    ids = rng.integers(0, 40, len(at)).astype(np.int32)
+    want = set()
+    for w in range(2000 // 32 + 1):
+        inside = ids[(at >= w * 32) & (at < w * 32 + 64)]
+        if len(inside) >= 2:
+            v = vectors.rows[inside].sum(0)
+            want |= {(w, int(j)) for j in np.flatnonzero(points @ v / np.sqrt(v @ v) >= 0.4)}
+    got = list(zip(*(x.tolist() for x in searcher.candidates(2000, at, ids)[:2]), strict=True))
+    assert len(got) > 20 and set(got) == want and len(got) == len(want)
+    assert vectors.read == len(ids)
