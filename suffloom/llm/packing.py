@@ -22,10 +22,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from suffloom.llm.common import table, text_batches, vocabulary_path, written
+from suffloom.llm.common import release_memory, table, text_batches, vocabulary_path, written
 from suffloom.llm.token_counts import unit_table
 from suffloom.operators.ranking import prefix_sums
 
+#: A worker's table of units and their ids while a task runs; fewer than for counts, as ids take memory, too.
+MOST_UNITS = 300_000
+
 
 def _price(value: np.ndarray, sizes: np.ndarray, ends: dict[int, float]) -> tuple[float, Counter, float]:
     """The pattern most valuable for its cost, as (value over cost, pattern, cost): an unbounded knapsack by
@@ -189,12 +192,12 @@ def pack(documents: DataFrame, path: str, key: str = "doc_id", capacity: int = 2
     full, kept_full = bins + 1, bins + 2
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = unit_table(path, "ids")
+        known = unit_table(path, "ids", most=MOST_UNITS)
         part = TaskContext.get().partitionId()
         seen: Counter = Counter()
         whole = 0
         end = np.array([end_id], "<u4")
-        for b in text_batches(batches, 2 << 20):
+        for b in text_batches(batches, 1 << 20):
             row, out, raws = [], [], []
             for i, (n, found) in enumerate(known.texts(b.column("text"))):
                 ids = memoryview(np.concatenate([found, end]).astype("<u4", copy=False).view(np.uint8))
@@ -215,6 +218,9 @@ def pack(documents: DataFrame, path: str, key: str = "doc_id", capacity: int = 2
             names = ["start", "length", "ids_crc32", "doc_tokens", "size", "place"]
             arrays = [b.column(key).take(pa.array(row, pa.int64())), *(pa.array(cols[:, i]) for i in range(6)), pa.array(np.full(len(out), part, np.int64)), pa.array(raws, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=[key, *names, "part", "ids"])
+        # Workers outlive the task: a full table in each would add up beside the executor's heap.
+        known.shrink()
+        release_memory()
 
     kind = documents.schema[key].dataType.simpleString()
     pieces = documents.select(key, documents["text"].cast("string").alias("text")).mapInArrow(
@@ -265,7 +271,9 @@ def pack(documents: DataFrame, path: str, key: str = "doc_id", capacity: int = 2
         ends.append((sequence, 0, size, at))
         at, sequence = at + size, sequence + 1
     if ends:
-        lying = lying.unionByName(documents.sparkSession.createDataFrame(ends, "sequence_id bigint, fill bigint, gap bigint, before bigint"))
+        # Literals, as rows from the driver's Python would start further workers in each executor.
+        rows = F.array(*(F.struct(*(F.lit(x).cast("long").alias(c) for x, c in zip(e, lying.columns, strict=True))) for e in ends))
+        lying = lying.unionByName(documents.sparkSession.range(0, 1, 1, 1).select(F.inline(rows)))
     last = F.least(F.col("before") + F.col("gap"), F.lit(line)) - 1
     wanted = lying.where(F.col("before") < line).withColumn("rank", F.explode(F.sequence(F.floor(F.col("before") / capacity), F.floor(last / capacity))))
     spares = ranked.where(F.col("size") == kept_full).select(*kept, "rank", "ids")

@@ -169,12 +169,21 @@ class UnitTable:
             self.known.pop(x, None)
         self.long.clear()
         if self.count > self.most or self.used > 16 * self.most:
-            keep = self.count // 2
-            while keep > 3 and not self.lengths and self.begin[keep] > 8 * self.most:
-                keep //= 2
-            keep = max(keep, 3)
-            self.known = {x: k for x, k in self.known.items() if k < keep}
-            self.count, self.used = keep, int(self.begin[keep]) if not self.lengths else 0
+            self._cut(self.count // 2, 8 * self.most)
+
+    def _cut(self, keep: int, most_ids: int) -> None:
+        """Of the units met first `keep` stay, or as many halves fewer as have `most_ids` ids."""
+        while keep > 3 and not self.lengths and self.begin[keep] > most_ids:
+            keep //= 2
+        keep = max(keep, 3)
+        self.known = {x: k for x, k in self.known.items() if k < keep}
+        self.count, self.used = keep, int(self.begin[keep]) if not self.lengths else 0
+
+    def shrink(self, most: int = 50_000) -> None:
+        """After a task: `most` units stay at most, in arrays of their size, as the worker outlives it."""
+        if self.count > most:
+            self._cut(most, 16 * most)
+        self.lens, self.begin, self.flat = self.lens[: self.count].copy(), self.begin[: self.count].copy(), self.flat[: self.used].copy()
 
     def _slow(self, text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for piece in safe_pieces(text, LONG_TEXT):
@@ -207,9 +216,9 @@ class UnitTable:
                 yield sum(n for n, _ in found), np.concatenate([x for _, x in found])
 
 
-def unit_table(path: str, kind: str) -> UnitTable:
+def unit_table(path: str, kind: str, **bounds: int) -> UnitTable:
     """One for each worker process: a later task finds it filled."""
-    return kept_in_worker((path, kind), lambda: UnitTable(path, kind == "lengths"))
+    return kept_in_worker((path, kind), lambda: UnitTable(path, kind == "lengths", **bounds))
 
 
 def count_tokens(documents: DataFrame, path: str, key: str = "doc_id", limit: int = 512) -> DataFrame:

@@ -1,12 +1,13 @@
 import random
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from suffloom.llm import token_counts
+from suffloom.llm import common, packing, token_counts
 from suffloom.llm.common import vocabulary_path
 from suffloom.llm.packing import _inverse, cutting_stock, deals, pack
 from suffloom.llm.token_counts import UnitTable, count_tokens, safe_pieces
@@ -142,6 +143,33 @@ def test_packing_edges(spark, empty, clashing, documents):
     assert plain(pack(spark.createDataFrame([(1, None), (1, ""), (None, "a")], "doc_id long, text string"), PATH), "doc_id", "length") == [(1, 1), (1, 1), (None, 2)]
 
 
+def test_idle_workers_keep_small_tables(spark, monkeypatch):
+    """What workers keep after a task adds up beside the executor's heap. Tokens stay the library's."""
+    runs, docs = [], spark.createDataFrame([], "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: runs.append(run) or self)
+    monkeypatch.setattr(packing, "written", lambda df, name: 1 / 0)
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    monkeypatch.setattr(common, "_KEPT", {})
+    with pytest.raises(ZeroDivisionError):
+        pack(docs, PATH)
+    texts = [" ".join(f"w{i * 700 + j}" for j in range(700)) for i in range(100)]
+    batch = pa.record_batch({"doc_id": pa.array(range(100)), "text": pa.array(texts)})
+    want = [len(ids(t)) + 1 for t in texts]
+    for _ in range(2):
+        out = pa.Table.from_batches(runs[0](iter([batch]))).to_pydict()
+        assert [n for n, start in zip(out["doc_tokens"], out["start"], strict=True) if start == 0] == want
+        (known,) = common._KEPT.values()
+        assert known.count == len(known.known) <= 50_000
+        assert len(known.lens) + len(known.begin) + len(known.flat) <= 2 * known.count + known.used
+
+
+def test_closing_gaps_starts_no_further_workers(documents, rows, monkeypatch):
+    """Rows from the driver's Python have workers of their own in each executor."""
+    monkeypatch.setattr(type(documents.sparkSession), "createDataFrame", lambda *a, **b: 1 / 0)
+    used = check_pieces(pack(documents, PATH, capacity=128, grain=2, spare=1).toPandas(), [(i, t) for i, t, _ in rows], 128)
+    assert padding(used, 128) == 0
+
+
 def test_cutting_stock_is_near_the_bound():
     rnd = np.random.default_rng(4)
     for capacity, n in ((20, 60), (64, 3000), (256, 20000)):
