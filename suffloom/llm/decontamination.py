@@ -14,7 +14,7 @@ import zlib
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import groupby, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -115,6 +115,30 @@ def _runs(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
 
 
+#: Rows that are added up one after the other in _sums(); longer runs are cut.
+_LONG = 64
+
+
+def _sums(rows: np.ndarray, at: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The sums of rows[at] over the runs of `at` that begin at `first`: the runs' first rows, then their
+    second ones and so on, each step for all runs that are as long. reduceat takes several times as long."""
+    size = np.diff(np.append(first, len(at)))
+    if len(size) and size.max() > _LONG:  # in pieces, or steps for a few long runs would be many
+        pieces = -(-size // _LONG)
+        begin = np.cumsum(pieces) - pieces
+        cut = np.repeat(first, pieces) + (np.arange(pieces.sum()) - np.repeat(begin, pieces)) * _LONG
+        return _sums(_sums(rows, at, cut), np.arange(len(cut)), begin)
+    order = np.argsort(-size, kind="stable")
+    start = first[order]
+    total = rows[at[start]]
+    as_long = len(size) - np.cumsum(np.bincount(size))
+    for j, k in enumerate(as_long[1:-1].tolist(), 1):
+        total[:k] += rows[at[start[:k] + j]]
+    out = np.empty_like(total)
+    out[order] = total
+    return out
+
+
 def _sum_over(blobs: DataFrame, shape: tuple[int, ...], add: Callable[[np.ndarray, bytes], None], rows: int = 1024) -> np.ndarray:
     """The sum over all tasks of an array that each fills from its blobs. Arrays are cut into
     runs of rows and added in two steps, so that no task holds more than the square root of them."""
@@ -210,7 +234,7 @@ def fit_space(documents: DataFrame, passages: list[Passage], rank: int = 192, se
     every = 1 if most_fitted is None else max(1, -(-n // most_fitted))
 
     def through(basis: np.ndarray, back: bool) -> Callable[[np.ndarray, bytes], None]:
-        basis = basis.astype(np.float32)
+        basis = (idf[:, None] * basis).astype(np.float32)
 
         def add(total: np.ndarray, blob: bytes) -> None:
             where, term, count_ = _passages(blob, n_terms)
@@ -220,7 +244,7 @@ def fit_space(documents: DataFrame, passages: list[Passage], rank: int = 192, se
                 where, term, count_ = where[chosen], term[chosen], count_[chosen]
             if not len(where):
                 return
-            cuts = np.flatnonzero(np.concatenate([[True], where[1:] // 256 != where[:-1] // 256, [True]]))
+            cuts = np.flatnonzero(np.concatenate([[True], where[1:] // 512 != where[:-1] // 512, [True]]))
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):  # a few passages at a time: their rows are wide
                 some(total, where[a:b], term[a:b], count_[a:b])
 
@@ -228,18 +252,17 @@ def fit_space(documents: DataFrame, passages: list[Passage], rank: int = 192, se
             weight = (count_ * idf[term]).astype(np.float32)
             first = _runs(where)
             norm = np.sqrt(np.add.reduceat(weight * weight, first))
-            size = np.diff(np.append(first, len(where)))
-            weight /= np.repeat(norm, size)
-            wide = basis[term]
-            wide *= weight[:, None]
-            low = np.add.reduceat(wide, first, axis=0)
+            passage, term = np.repeat(np.repeat(np.arange(len(first)), np.diff(np.append(first, len(where)))), count_), np.repeat(term, count_)
+            low = _sums(basis, term, _runs(passage))
             if back:
+                low /= (norm * norm)[:, None]
                 order = np.argsort(term, kind="stable")
-                np.take(low, np.repeat(np.arange(len(first)), size)[order], axis=0, out=wide)
-                wide *= weight[order][:, None]
-                start_ = _runs(term[order])
-                total[term[order][start_]] += np.add.reduceat(wide, start_, axis=0)
+                term = term[order]
+                start_ = _runs(term)
+                met = term[start_]
+                total[met] += idf[met, None] * _sums(low, passage[order], start_)
             else:
+                low /= norm[:, None]
                 total += low.T @ low
 
         return add
@@ -300,10 +323,13 @@ class Searcher:
         self.needed = ((paraphrase - 1e-6) * self.total - self.common).tolist()  # of a bag
         self.least = min((len({w for w in p.words if w in space.terms}) for p in space.passages), default=1)
         self.points = np.ascontiguousarray(space.points.T)
-        self.rows = max(1, (1 << 21) // max(1, len(space.passages)))  # windows compared at once
+        n = max(1, len(space.passages))
+        self.rows = max(1, (1 << 18) // n, min(64, (1 << 21) // n))  # windows compared at once
+        self.blocks = (1 << 22) // n  # of the texts that go together, so that their pairs are bounded
 
-    def candidates(self, size: int, at: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(window, passage, cosine) of a text's windows; window w begins at word w * STRIDE."""
+    def candidates(self, size: int, at: np.ndarray, ids: np.ndarray, texts: tuple[int, ...] | np.ndarray = (0,)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, passage, cosine) of a text's windows; window w begins at word w * STRIDE. at may go on
+        over several texts, if they lie some blocks apart: `texts` are the blocks at which they begin."""
         none = (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.float32),)
         if not len(at):
             return none
@@ -311,7 +337,7 @@ class Searcher:
         first = _runs(block)
         blocks, n = block[first], np.append(np.diff(np.append(first, len(at))), 0)
         window = np.unique(np.concatenate([blocks, blocks - 1]))
-        window = window[window >= 0]
+        window = window[~np.isin(window + 1, texts)]  # that would begin before its text
         left, right = (np.minimum(np.searchsorted(blocks, w), len(blocks) - 1) for w in (window, window + 1))
         left[blocks[left] != window] = len(blocks)
         right[blocks[right] != window + 1] = len(blocks)
@@ -319,15 +345,14 @@ class Searcher:
         if not enough.any():
             return none
         window, left, right = window[enough], left[enough], right[enough]
-        sums = np.zeros((len(blocks) + 1, self.s.vectors.shape[1]), np.float32)
-        np.add.reduceat(self.s.vectors[ids], first, axis=0, out=sums[:-1])
-        points = sums[left]
-        points += sums[right]
-        points /= np.maximum(np.sqrt((points * points).sum(1, keepdims=True)), 1e-9)
+        sums = np.concatenate([_sums(self.s.vectors, ids, first), np.zeros((1, self.s.vectors.shape[1]), np.float32)])
         found = []
-        for k in range(0, len(points), self.rows):
-            near = points[k : k + self.rows] @ self.points
-            i, j = np.nonzero(near >= self.cosine)
+        for k in range(0, len(window), self.rows):
+            points = sums[left[k : k + self.rows]]
+            points += sums[right[k : k + self.rows]]
+            points /= np.maximum(np.sqrt(np.einsum("ij,ij->i", points, points)), 1e-9)[:, None]
+            near = points @ self.points
+            i, j = np.divmod(np.flatnonzero(near >= self.cosine), near.shape[1])
             found.append((window[k + i], j, near[i, j]))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
@@ -344,11 +369,8 @@ class Searcher:
         for a, b, w, p, c in zip(begin, end, windows.tolist(), passages.tolist(), cosines.tolist(), strict=True):
             if w != last:
                 last, terms = w, set(listed[a:b])
-            bag, held = self.bags[p], 0.0
-            for t in terms:
-                if t in bag:
-                    held += bag[t]
-            if held >= self.needed[p]:
+            bag = self.bags[p]
+            if sum(map(bag.__getitem__, terms.intersection(bag))) >= self.needed[p]:
                 yield w, p, c
 
     def verify(self, words: list[bytes], window: int, passage: int) -> tuple[float, float]:
@@ -362,13 +384,27 @@ class Searcher:
 
     def leaks(self, texts: list[str | None]) -> Iterator[tuple[int, int, float, float, float, int]]:
         """(text's place, item, cosine, share, answer's share, first word of the window): the best pair for each item."""
-        for i, text in enumerate(texts):
-            words = plain_words(text)
-            ids = np.fromiter(map(self.s.terms.get, words, repeat(-1)), np.int32, len(words))
-            at = np.flatnonzero(ids >= 0)
+        found, block = [], 0
+        for i, size, at, ids in _hits(texts, self.s.terms):
+            size = -(-size // STRIDE) + 2  # far enough for the words around a window, too
+            if found and block + size > self.blocks:
+                yield from self._leaks_of(texts, found)
+                found, block = [], 0
+            found.append((i, block, at + block * STRIDE, ids))
+            block += size
+        if found:
+            yield from self._leaks_of(texts, found)
+
+    def _leaks_of(self, texts: list[str | None], found: list[tuple[int, int, np.ndarray, np.ndarray]]) -> Iterator[tuple[int, int, float, float, float, int]]:
+        """The leaks of some texts: (place, the block at which it begins among them, positions of terms, their numbers)."""
+        starts = np.array([x[1] for x in found])
+        at, ids = np.concatenate([x[2] for x in found]), np.concatenate([x[3] for x in found])
+        pairs = self.all_possible(at, ids, *self.candidates(at[-1] + 1 if len(at) else 0, at, ids, starts))
+        for k, some in groupby(pairs, lambda pair: int(np.searchsorted(starts, pair[0], "right")) - 1):
+            i, begin, words = found[k][0], found[k][1], plain_words(texts[found[k][0]])
             best: dict[int, tuple[float, float, float, int]] = {}
-            ids = ids[at]
-            for w, p, c in self.all_possible(at, ids, *self.candidates(len(words), at, ids)):
+            for w, p, c in some:
+                w -= begin
                 whole, end = self.verify(words, w, p)
                 if whole >= self.share or (whole >= self.paraphrase and end >= self.answer):
                     item = self.s.passages[p].item

@@ -186,3 +186,36 @@ def test_windows_share_the_sums_of_their_blocks():
     got = list(zip(*(x.tolist() for x in searcher.candidates(2000, at, ids)[:2]), strict=True))
     assert len(got) > 20 and set(got) == want and len(got) == len(want)
     assert vectors.read == len(ids)
+
+
+def test_sums_of_runs():
+    rng = np.random.default_rng(4)
+    for longest in (1, 5, decontamination._LONG, decontamination._LONG**2 + 1):
+        size = np.append(rng.integers(1, longest + 1, 30), longest)
+        first = np.cumsum(size) - size
+        rows, at = rng.integers(0, 100, (50, 3)).astype(np.float32), rng.integers(0, 50, size.sum())
+        got = decontamination._sums(rows, at, first)
+        assert got.dtype == np.float32 and (got == np.add.reduceat(rows[at], first, axis=0)).all()
+    none = np.zeros(0, np.int64)
+    assert decontamination._sums(rows, none, none).shape == (0, 3)
+
+
+def test_texts_are_searched_together(planted, monkeypatch):
+    """The windows of a batch's texts are compared at once, and each text holds what it holds by itself."""
+    documents, benchmark, _, _ = planted
+    passages = benchmark_passages([(r["item_id"], r["text"]) for r in benchmark.collect()])
+    searcher = Searcher(fit_space(documents, passages), 0.4, 0.6, 0.45, 0.8)
+    leaking = [r["text"] for r in documents.where("doc_id >= 200").orderBy("doc_id").collect()]
+    items = [" ".join(w.decode() for w in p.words) for p in passages]
+    halves = [" ".join(x.split()[a:b]) for x in items[:10] for a, b in ((0, len(x.split()) // 2), (len(x.split()) // 2, None))]  # an item across two texts is in neither
+    texts = [None, "", *leaking, "", *items, None, *halves, "..."]
+    alone = [(i, *row[1:]) for i, text in enumerate(texts) for row in searcher.leaks([text])]
+    calls, compare = [], searcher.candidates
+    monkeypatch.setattr(searcher, "candidates", lambda *a: calls.append(a) or compare(*a))
+    together = list(searcher.leaks(texts))
+    assert len(calls) == 1
+    assert len(alone) > 90 and [(x[0], x[1], x[5]) for x in together] == [(x[0], x[1], x[5]) for x in alone]
+    assert np.array([x[2:5] for x in together]) == pytest.approx(np.array([x[2:5] for x in alone]), abs=1e-5)
+    assert list(searcher.leaks([])) == []
+    monkeypatch.setattr(searcher, "blocks", 20)
+    assert [(x[0], x[1], x[5]) for x in searcher.leaks(texts)] == [(x[0], x[1], x[5]) for x in alone] and 10 < len(calls) < len(texts)
