@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from suffloom.operators.bwt import running
+from suffloom.operators.shared import joined
 
 
 def cut(parts: int, k: int) -> Column:
@@ -64,7 +65,7 @@ def zone_array(suf: DataFrame, where: Column, large: bool = False) -> DataFrame:
 def greater_than(suf: DataFrame, where: Column, at: Column) -> DataFrame:
     """(text_id, pos, gt): whether the suffix is greater than the one at `at`. The suffix at n is empty, and less than all."""
     mark = suf.where(F.col("pos") == at).select("text_id", F.col("rank").alias("mark"))
-    rows = suf.where(where).select("text_id", "pos", "rank").join(mark, "text_id", "left")
+    rows = joined(suf.where(where).select("text_id", "pos", "rank"), mark, "text_id", "left")
     return rows.select("text_id", "pos", F.coalesce(F.col("rank") > F.col("mark"), F.lit(True)).alias("gt"))
 
 
@@ -123,7 +124,7 @@ def gap_bits(suf: DataFrame, block: Column, tail: Column, large: bool = False) -
 def edited_bits(bits: DataFrame, changes: DataFrame) -> DataFrame:
     """bits (text_id, i, bit) after changes (text_id, i, change): set, reset or flip. At most one change for a bit; others stay."""
     now = F.when(F.col("change") == "set", True).when(F.col("change") == "reset", False).when(F.col("change") == "flip", ~F.col("bit")).otherwise(F.col("bit"))
-    return bits.join(changes, ["text_id", "i"], "left").select("text_id", "i", now.alias("bit"))
+    return joined(bits, changes, ["text_id", "i"], "left").select("text_id", "i", now.alias("bit"))
 
 
 def packed_bits(bits: DataFrame, size: int = 1 << 20) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from suffloom.functions.kernel import invert_bwt
 from suffloom.operators.ranking import prefix_sums
-from suffloom.operators.shared import once, written
+from suffloom.operators.shared import joined, once, written
 from suffloom.operators.suffix_array import text_runs
 
 
@@ -60,7 +60,7 @@ def running(rows: DataFrame, group: list[str], order: str, value: Column, out: s
         rows = prefix_sums(rows, [*group, order], "__value", "__before")
         rows = written(rows, "running")
         base = rows.groupBy(*group).agg(F.min(F.struct(order, "__before"))["__before"].alias("__base"))
-        rows = rows.join(base, group).withColumn(out, F.col("__before") - F.col("__base")).drop("__before", "__base")
+        rows = joined(rows, base, group).withColumn(out, F.col("__before") - F.col("__base")).drop("__before", "__base")
         if inclusive:
             rows = rows.withColumn(out, F.col(out) + F.col("__value"))
     else:
@@ -108,7 +108,7 @@ def lf_mapping(suf: DataFrame, large: bool = False) -> DataFrame:
     suf = once(suf, "suffixes")
     last = suf.where(F.col("pos") == F.col("n") - 1).select("text_id", F.col("sym").alias("last"))
     rows = running(suf.where("pos > 0").select("text_id", "rank", F.col("prev").alias("sym")), ["text_id", "sym"], "rank", F.lit(1), "occ", large)
-    rows = rows.join(c_array(suf).select("text_id", "sym", "c"), ["text_id", "sym"]).join(last, "text_id")
+    rows = joined(joined(rows, c_array(suf).select("text_id", "sym", "c"), ["text_id", "sym"]), last, "text_id")
     return rows.select("text_id", "rank", (F.col("c") + F.col("occ") + (F.col("sym") == F.col("last")).cast("long")).alias("lf"))
 
 
@@ -122,5 +122,5 @@ def inverse_bwt(transform: DataFrame, primary: DataFrame, last: DataFrame) -> Da
         text = invert_bwt(symbols, rows.column("i0")[0].as_py(), rows.column("last")[0].as_py())
         return pa.table({"text_id": pa.array([key[0].as_py()], pa.int64()), "bytes": pa.array([text], pa.binary())})
 
-    rows = transform.join(primary, "text_id").join(last, "text_id")
+    rows = joined(joined(transform, primary, "text_id"), last, "text_id")
     return rows.groupBy("text_id").applyInArrow(run, "text_id bigint, bytes binary")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from suffloom.operators.blocks import gap, zone, zone_array
 from suffloom.operators.bwt import running
-from suffloom.operators.shared import once
+from suffloom.operators.shared import joined, once
 
 
 def merge_two(left: DataFrame, right: DataFrame, gaps: DataFrame, large: bool = False) -> DataFrame:
@@ -26,7 +26,7 @@ def merge_two(left: DataFrame, right: DataFrame, gaps: DataFrame, large: bool =
     lefts = summed.where("at.kind = 1").select("text_id", (F.col("at.k") + F.col("before")).alias("rank"), *columns)
     slot = running(gaps, ["text_id"], "slot", F.col("cnt"), "before", large)
     slot = slot.where("cnt > 0").select("text_id", "slot", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("cnt") - 1)).alias("k"))
-    rights = right.join(slot, ["text_id", "k"]).select("text_id", (F.col("k") + F.col("slot")).alias("rank"), *columns)
+    rights = joined(right, slot, ["text_id", "k"]).select("text_id", (F.col("k") + F.col("slot")).alias("rank"), *columns)
     return lefts.unionByName(rights)
 
 
@@ -57,12 +57,12 @@ def merge_transforms(suf: DataFrame, large: bool = False) -> DataFrame:
     left, right = zone(2, 0), zone(2, 1)
     own = suf.select("text_id", "pos", "n")
     begins = own.where(F.col("pos") == half).select("text_id", F.col("pos").alias("begin"))
-    rights = zone_array(suf, right, large).join(begins, "text_id").withColumn("prev", F.when(F.col("pos") == F.col("begin"), 0).otherwise(F.col("prev")))
+    rights = joined(zone_array(suf, right, large), begins, "text_id").withColumn("prev", F.when(F.col("pos") == F.col("begin"), 0).otherwise(F.col("prev")))
     lasts = suf.where(F.col("pos") == half - 1).select("text_id", F.col("sym").alias("last"))
     columns = ["text_id", "k", "prev", "first"]
     a = zone_array(suf, left, large).withColumn("first", F.lit(False)).select(*columns)
     b = rights.withColumn("first", F.col("pos") == F.col("begin")).select(*columns)
-    merged = merge_two(a, b, gap(suf, left, right, large), large).join(lasts, "text_id", "left")
+    merged = joined(merge_two(a, b, gap(suf, left, right, large), large), lasts, "text_id", "left")
     return merged.select("text_id", "rank", F.when(F.col("first"), F.coalesce("last", F.lit(0))).otherwise(F.col("prev")).alias("sym"))
 
 

@@ -61,6 +61,12 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def joined(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join by sorting, never by broadcast. Spark takes a table of suffixes for as small as the texts it's made from, and
+    packed files for as small as they are: by its own choice it collects tables that grow with the input in the driver."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def once(df: DataFrame, name: str) -> DataFrame:
     """df for several uses: as it is if it only reads files, else written first, so that it's computed once."""
     plan = df._jdf.queryExecution().optimizedPlan().toString().strip().splitlines()

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from suffloom.functions import codecs, strings
 from suffloom.operators import blocks, bwt, index, merging, search
 from suffloom.operators import suffix_array as sa
-from suffloom.operators.shared import fresh_path, once, written
+from suffloom.operators.shared import fresh_path, joined, once, written
 from suffloom.sources import sa5
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -413,7 +413,7 @@ def block_rank_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def half_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = part_texts(spark, sf_dir).select("text_id", F.octet_length("bytes").cast("long").alias("n"))
-    return blocks.half_ranges(blocks.block_ranges(sizes, 4).join(sizes, "text_id"), 20)
+    return blocks.half_ranges(joined(blocks.block_ranges(sizes, 4), sizes, "text_id"), 20)
 
 
 @_query(
@@ -516,7 +516,7 @@ def rename_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = blocks.cut(2, 1)
     last = suf.where(F.col("pos") == half - 1).select("text_id", F.col("sym").alias("last"))
     after = blocks.greater_than(suf, F.col("pos") <= half, half).select("text_id", (F.col("pos") - 1).alias("pos"), F.col("gt").alias("after"))
-    rows = suf.where(F.col("pos") < half).join(last, "text_id").join(after, ["text_id", "pos"], "left")
+    rows = joined(joined(suf.where(F.col("pos") < half), last, "text_id"), after, ["text_id", "pos"], "left")
     rows = rows.withColumn("renamed", strings.renamed(F.col("sym"), F.col("last"), F.coalesce("after", F.lit(False)), F.col("pos") == half - 1))
     return rows.select("text_id", "pos", "sym", "renamed", strings.restored(F.col("renamed"), F.col("last")).alias("restored"))
 

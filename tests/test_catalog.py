@@ -42,3 +42,13 @@ def test_documents_brute_force(spark, data):
         assert sorted(got[k].values()) == list(range(len(t)))
         if len(t) < 1500:
             assert [got[k][r] for r in range(len(t))] == sorted(range(len(t)), key=lambda i: t[i:])
+
+
+GROWING = ["bit_edits", "gt_begin", "gt_end", "half_blocks", "lf_mapping", "inverse_bwt", "merge_two_way", "merge_bwt", "rename_roundtrip"]
+
+
+@pytest.mark.parametrize("name", GROWING)
+def test_tables_of_suffixes_are_not_broadcast(spark, data, name):
+    """Spark takes them for as small as the texts they come from; all of them would pass through the driver."""
+    plan = catalog.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
