@@ -101,7 +101,7 @@ def gap(suf: DataFrame, block: Column, tail: Column, large: bool = False) -> Dat
 def dense_gap(gaps: DataFrame, sizes: DataFrame) -> DataFrame:
     """gaps with rows of 0, for the slots 0 to size of (text_id, size)."""
     every = sizes.select("text_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size"))).alias("slot"))
-    return every.join(gaps, ["text_id", "slot"], "left").select("text_id", "slot", F.coalesce("cnt", F.lit(0).cast("long")).alias("cnt"))
+    return joined(every, gaps, ["text_id", "slot"], "left").select("text_id", "slot", F.coalesce("cnt", F.lit(0).cast("long")).alias("cnt"))
 
 
 def gap_chunks(dense: DataFrame, size: int, large: bool = False) -> DataFrame:
@@ -165,7 +165,7 @@ def prefix_search(dense: DataFrame, queries: DataFrame, large: bool = False) ->
     reach = F.col("slot") + F.col("total")
     low = F.when(F.col("slot") == 0, F.lit(0).cast("long")).otherwise(reach - F.col("cnt"))
     answers = rows.select("text_id", F.col("slot").alias("j"), "total", F.explode(F.sequence(low, reach)).alias("a"))
-    return queries.join(answers, ["text_id", "a"]).select("text_id", "a", "j", "total")
+    return joined(queries, answers, ["text_id", "a"]).select("text_id", "a", "j", "total")
 
 
 def block_rank_matrix(suf: DataFrame, parts: int) -> DataFrame:
