@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from suffloom.functions.kernel import interval, sort_suffixes
+from suffloom.operators.shared import joined
 from suffloom.operators.suffix_array import spread, text_runs
 from suffloom.shipping import ship
 
@@ -74,5 +75,5 @@ def pattern_range_of_rows(suf: DataFrame, texts: DataFrame, pattern: bytes) -> D
     """(text_id, lo, hi) of one pattern by one aggregate over a table of suffixes: for texts too long for a task.
     A suffix' head comes from a join with the text's row."""
     head = F.substring("bytes", (F.col("pos") + 1).cast("int"), F.lit(len(pattern)))
-    heads = suf.select("text_id", "pos").join(texts, "text_id").select("text_id", head.alias("head"))
+    heads = joined(suf.select("text_id", "pos"), texts, "text_id").select("text_id", head.alias("head"))
     return heads.groupBy("text_id").agg(F.sum((F.col("head") < F.lit(pattern)).cast("long")).alias("lo"), F.sum((F.col("head") <= F.lit(pattern)).cast("long")).alias("hi"))
