@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from suffloom.functions.kernel import FIRST_SYMBOLS, first_keys, sort_suffixes
 from suffloom.operators.ranking import prefix_sums
-from suffloom.operators.shared import fresh_path, recorded, remove, written
+from suffloom.operators.shared import fresh_path, joined, recorded, remove, written
 from suffloom.shipping import ship
 from suffloom.sources.arrays import ArrayStore
 
@@ -133,19 +133,55 @@ def _keys_of_chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield from _keyed(r["text_id"], r["begin"], r["n"], r["bytes"], r["before"], r["after"])
 
 
+def _ranked_by_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As _keys_of_texts, of texts that a task can hold, with each suffix' rank by its first symbols in its text, whether no
+    other shares it (done), and whether that holds for all of its text (settled)."""
+    for ids, texts in text_runs(batches):
+        sizes = np.array([len(t) for t in texts], np.int64)
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        n = int(starts[-1])
+        if not n:
+            continue
+        symbols = np.frombuffer(b"".join(texts), np.uint8)
+        text = np.repeat(np.arange(len(texts)), sizes)
+        key = first_keys(symbols, starts[1:][text] - np.arange(n))
+        order = np.lexsort((key, text))
+        k, pos = key[order], order - starts[text]  # a text's slots are where its bytes are
+        begins = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (text[1:] != text[:-1])]))
+        shared = np.diff(np.append(begins, n))
+        rank = np.repeat(begins, shared) - starts[text]
+        done = np.repeat(shared == 1, shared)
+        settled = np.bincount(text[~done], minlength=len(texts)) == 0
+        prev = np.where(pos > 0, symbols[order - 1], 0).astype(np.int32)
+        made = [np.array(ids, np.int64)[text], pos, k, sizes[text], symbols[order].astype(np.int32), prev, rank, done, settled[text]]
+        whole = pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["text_id", "pos", "key", "n", "sym", "prev", "rank", "done", "settled"])
+        for at in range(0, n, _ROWS):
+            yield whole.slice(at, _ROWS)
+
+
 _KEYED = "text_id bigint, pos bigint, key bigint, n bigint, sym int, prev int"
 
 
 def by_doubling(texts: DataFrame, partitions: int | None = None, columns: list[str] | None = None) -> DataFrame:
-    """Distributed prefix doubling of texts that fit a row."""
+    """Distributed prefix doubling of texts that fit a row. Texts that a task can hold get their first ranks there, without a
+    shuffle; those in which no two suffixes share their first symbols need no more. The others' rounds are distributed."""
     ship(texts.sparkSession)
-    return _doubled(texts.select("text_id", "bytes").mapInArrow(_keys_of_texts, _KEYED), partitions).select(*(columns or [x.split(" ")[0] for x in SCHEMA.split(", ")]))
+    columns = columns or [x.split(" ")[0] for x in SCHEMA.split(", ")]
+    texts = texts.select("text_id", "bytes")
+    size = F.octet_length("bytes")
+    first = written(texts.where(size <= KERNEL_LIMIT).mapInArrow(_ranked_by_keys, f"{_KEYED}, rank bigint, done boolean, settled boolean"), "symbols")
+    out, rest, long = first.where("settled").select(*columns), first.where("NOT settled").drop("settled"), texts.where(size > KERNEL_LIMIT)
+    if not rest.isEmpty():
+        out = out.unionByName(_doubled(rest, partitions).select(*columns))
+    if not long.isEmpty():
+        out = out.unionByName(_doubled(written(long.mapInArrow(_keys_of_texts, _KEYED), "symbols"), partitions).select(*columns))
+    return out
 
 
 def of_chunks(chunks: DataFrame, partitions: int | None = None, columns: list[str] | None = None) -> DataFrame:
     """The table of suffixes of texts that come as chunks (see sources.chunks): a text may be longer than a row or a task can be."""
     ship(chunks.sparkSession)
-    return _doubled(chunks.mapInArrow(_keys_of_chunks, _KEYED), partitions).select(*(columns or [x.split(" ")[0] for x in SCHEMA.split(", ")]))
+    return _doubled(written(chunks.mapInArrow(_keys_of_chunks, _KEYED), "symbols"), partitions).select(*(columns or [x.split(" ")[0] for x in SCHEMA.split(", ")]))
 
 
 #: Ranks to a file.
@@ -157,7 +193,7 @@ def _with_ranks(rows: DataFrame, ranks: DataFrame, on: list[str], total: int) ->
     a shuffle spreads the others evenly."""
     limit = max(64, total // 4096)
     heavy = F.broadcast(ranks.where(F.col("count") > limit))  # fewer than 4096 rows
-    return rows.join(heavy, on).unionByName(rows.join(heavy.select(*on), on, "left_anti").join(ranks.where(F.col("count") <= limit), on))
+    return rows.join(heavy, on).unionByName(rows.join(heavy.select(*on), on, "left_anti").hint("merge").join(ranks.where(F.col("count") <= limit), on))
 
 
 class _Ranks:
@@ -192,15 +228,14 @@ class _Ranks:
         return out
 
 
-def _doubled(keyed: DataFrame, partitions: int | None) -> DataFrame:
-    """No task holds a text, however long its repeats.
+def _doubled(rows: DataFrame, partitions: int | None) -> DataFrame:
+    """No task holds a text, however long its repeats. rows are files; they may hold their texts' first ranks.
 
     Ranks are counts of lesser keys, so that a key that many suffixes share is one row. Texts lie end to
     end, and ranks by place in files. Each round takes only suffixes that still share their rank: it looks up
     the rank h further on in the files, ranks them anew by both and enters their new ranks. What is
     settled is neither read again nor shuffled. Rounds: about log2 of the longest repeat over seven.
     """
-    rows = written(keyed, "symbols")
     spark = rows.sparkSession
     if partitions is None:  # as many as hold 64 MiB of the written rows each
         conf = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -209,12 +244,17 @@ def _doubled(keyed: DataFrame, partitions: int | None) -> DataFrame:
     bases = written(prefix_sums(sizes, ["text_id"], "n", "base", partitions).select("text_id", "base"), "bases")
     total = rows.count()
     ranks = _Ranks(ArrayStore(fresh_path(spark, "ranks")), total)
-    done = (F.col("count") == 1).alias("done")
-    counts = rows.groupBy("text_id", "key").agg(F.count("*").alias("count"))
-    placed = rows.select("text_id", "pos", "n", "key").join(bases, "text_id").select("text_id", "key", (F.col("base") + F.col("pos")).alias("at"), (F.col("base") + F.col("n")).alias("end"))
+    few = bases.count() <= 100_000
+    based = rows.join(F.broadcast(bases), "text_id") if few else joined(rows, bases, "text_id")
+    place = [(F.col("base") + F.col("pos")).alias("at"), (F.col("base") + F.col("n")).alias("end")]
     with recorded() as made:
-        first = written(prefix_sums(counts, ["text_id", "key"], "count", "rank", partitions), "sums")
-        open_ = ranks.put(_with_ranks(placed, first, ["text_id", "key"], total).select("at", "end", "rank", done))
+        if "rank" in rows.columns:
+            open_ = ranks.put(based.select(*place, (F.col("base") + F.col("rank")).alias("rank"), "done"))
+        else:
+            counts = rows.groupBy("text_id", "key").agg(F.count("*").alias("count"))
+            first = written(prefix_sums(counts, ["text_id", "key"], "count", "rank", partitions), "sums")
+            placed = _with_ranks(based.select("text_id", "key", *place), first, ["text_id", "key"], total)
+            open_ = ranks.put(placed.select("at", "end", "rank", (F.col("count") == 1).alias("done")))
     h = FIRST_SYMBOLS
     while not open_.isEmpty():
 
@@ -241,8 +281,7 @@ def _doubled(keyed: DataFrame, partitions: int | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(rank)], names=[*kept, "rank"])
 
     kept = ["text_id", "pos", "n", "sym", "prev", "key"]
-    out = rows.join(F.broadcast(bases) if bases.count() <= 100_000 else bases, "text_id").select(*kept, "base")
-    out = out.mapInArrow(ranked, "text_id bigint, pos bigint, n bigint, sym int, prev int, key bigint, rank bigint")
+    out = based.select(*kept, "base").mapInArrow(ranked, "text_id bigint, pos bigint, n bigint, sym int, prev int, key bigint, rank bigint")
     return out.select("text_id", "pos", "rank", "n", "sym", "prev", "key")
 
 
@@ -251,7 +290,7 @@ def _round(open_: DataFrame, ahead: Callable[[Iterable[pa.RecordBatch]], Iterato
     seconds = written(open_.select("at", "end", "rank").mapInArrow(ahead, "at bigint, end bigint, rank bigint, second bigint"), "seconds")
     sums = written(prefix_sums(seconds.groupBy("rank", "second").agg(F.count("*").alias("count")), ["rank", "second"], "count", "before", partitions), "sums")
     base = sums.groupBy("rank").agg(F.min("before").alias("base"))
-    new = written(sums.join(base, "rank").select("rank", "second", "count", (F.col("rank") + F.col("before") - F.col("base")).alias("new")), "new")
+    new = written(joined(sums, base, "rank").select("rank", "second", "count", (F.col("rank") + F.col("before") - F.col("base")).alias("new")), "new")
     moved = _with_ranks(seconds, new, ["rank", "second"], total)
     return ranks.put(moved.select("at", "end", F.col("new").alias("rank"), (F.col("count") == 1).alias("done")))
 
@@ -266,7 +305,7 @@ def suffixes(texts: DataFrame, strategy: str = "auto", partitions: int | None =
     if strategy == "windows":
         return by_windows(texts).select(*columns)
     if strategy == "doubling":
-        return by_doubling(texts, partitions, columns)
+        return by_doubling(spread(texts), partitions, columns)
     if strategy != "auto":
         raise ValueError(f"no such strategy: {strategy}")
     size = F.octet_length("bytes")

@@ -226,3 +226,16 @@ def test_the_shared_folder_must_be_named_on_a_cluster():
     context = SimpleNamespace(getConf=dict, getCheckpointDir=lambda: None, master="spark://host:7077")
     with pytest.raises(RuntimeError):
         shared_dir(SimpleNamespace(sparkContext=context, conf={}))
+
+
+def test_texts_without_long_repeats_are_ranked_without_rounds(texts, suf, monkeypatch):
+    taken, doubled = [], sa._doubled
+    monkeypatch.setattr(sa, "_doubled", lambda rows, *a: taken.append({r["text_id"] for r in rows.select("text_id").collect()}) or doubled(rows, *a))
+    repeats = {i for i, t in enumerate(TEXTS) if len({t[p : p + 7] for p in range(len(t))}) < len(t)}
+    plain = texts.where(~F.col("text_id").isin(list(repeats)))
+    assert 5 < plain.count() and rows(sa.suffixes(plain, "doubling"), *suf.columns) == rows(suf.where(~F.col("text_id").isin(list(repeats))), *suf.columns)
+    assert taken == []
+    monkeypatch.setattr(sa, "KERNEL_LIMIT", 20)  # some are too long for a task
+    assert rows(sa.suffixes(texts, "doubling"), *suf.columns) == rows(suf, *suf.columns)
+    long = {i for i, t in enumerate(TEXTS) if len(t) > 20}
+    assert taken == [repeats - long, long] and repeats - long
