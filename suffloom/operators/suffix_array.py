@@ -344,5 +344,47 @@ def order_faults(suf: DataFrame) -> DataFrame:
     return rows.groupBy("text_id").agg(F.count("*").alias("n"), F.sum("pos").alias("positions"), F.sum("fault").alias("faults"))
 
 
+def _checked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for ids, texts in text_runs(batches):
+        starts, order = sort_suffixes(texts)
+        n, sizes = len(order), np.diff(starts)
+        if not n:
+            continue
+        yield order_checked(np.array(ids, np.int64), np.frombuffer(b"".join(texts), np.uint8), sizes, order)
+
+
+def order_checked(ids: np.ndarray, symbols: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> pa.RecordBatch:
+    """order_faults() of texts end to end and their arrays: a row for each text that isn't empty. A slot whose position isn't its own is a fault, too."""
+    starts, n = np.cumsum(sizes) - sizes, len(order)
+    text, slot = np.repeat(np.arange(len(sizes)), sizes), np.arange(n)
+    at = starts[text] + order
+    rank = np.full(n, -1, np.int64)
+    rank[at] = slot
+    following = np.full(n, -1, np.int64)
+    inner = order + 1 < sizes[text]
+    following[inner] = rank[at[inner] + 1]
+    sym = symbols[at]
+    fault = rank[at] != slot
+    later = slot[1:] != starts[text[1:]]
+    fault[1:] |= later & ((sym[:-1] > sym[1:]) | (sym[:-1] == sym[1:]) & (following[:-1] >= following[1:]))
+    some = np.flatnonzero(sizes)
+    sums = (np.add.reduceat(x.astype(np.int64), starts[some]) for x in (order, fault))
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[some], sizes[some], *sums)], names=["text_id", "n", "positions", "faults"])
+
+
+def order_faults_of_texts(texts: DataFrame) -> DataFrame:
+    """order_faults() of all texts' arrays. Texts that one task sorts are checked by it, so that no suffix is a row; longer ones'
+    tables are checked by windows."""
+    ship(texts.sparkSession)
+    size = F.octet_length("bytes")
+    longest, total = texts.agg(F.max(size), F.sum(size)).first()
+    texts = spread(texts, total or 0)
+    schema = "text_id bigint, n bigint, positions bigint, faults bigint"
+    if (longest or 0) <= KERNEL_LIMIT:
+        return texts.select("text_id", "bytes").mapInArrow(_checked, schema)
+    long = order_faults(by_doubling(texts.where(size > KERNEL_LIMIT), columns=["text_id", "pos", "rank", "sym"]))
+    return texts.where(size <= KERNEL_LIMIT).select("text_id", "bytes").mapInArrow(_checked, schema).unionByName(long)
+
+
 def byte_of(sym: Column) -> Column:
     return F.unhex(F.lpad(F.hex(sym), 2, "0"))

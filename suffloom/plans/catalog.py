@@ -107,8 +107,7 @@ def sa_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _order(spark: SparkSession, sf_dir: str, name: str, key: str, column: str) -> DataFrame:
-    texts = sa.texts_of(_table(spark, sf_dir, name), key, column)
-    return sa.order_faults(sa.suffixes(texts, columns=["text_id", "pos", "rank", "sym"]))
+    return sa.order_faults_of_texts(sa.texts_of(_table(spark, sf_dir, name), key, column))
 
 
 def _order_sql(name: str, key: str, column: str) -> str:

@@ -1,5 +1,7 @@
+import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -239,3 +241,25 @@ def test_texts_without_long_repeats_are_ranked_without_rounds(texts, suf, monkey
     assert rows(sa.suffixes(texts, "doubling"), *suf.columns) == rows(suf, *suf.columns)
     long = {i for i, t in enumerate(TEXTS) if len(t) > 20}
     assert taken == [repeats - long, long] and repeats - long
+
+
+def test_order_faults_of_texts(texts, monkeypatch):
+    want = sorted((i, len(t), len(t) * (len(t) - 1) // 2, 0) for i, t in enumerate(TEXTS) if t)
+    columns = ["text_id", "n", "positions", "faults"]
+    got = sa.order_faults_of_texts(texts)
+    assert rows(got, *columns) == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan
+    monkeypatch.setattr(sa, "KERNEL_LIMIT", 20)
+    assert rows(sa.order_faults_of_texts(texts), *columns) == want
+
+
+def test_wrong_orders_are_found():
+    """All orders of some short texts, a right one among others that repeat positions too."""
+    for t in (b"aba", b"abab", b"aaa", b"\xff\0\xff"):
+        for order in itertools.product(range(len(t)), repeat=len(t)):
+            two = [b"ba", b"", t]
+            flat = np.array([1, 0, *order])
+            got = sa.order_checked(np.arange(3), np.frombuffer(b"".join(two), np.uint8), np.array([2, 0, len(t)]), flat).to_pydict()
+            assert got["text_id"] == [0, 2] and got["n"] == [2, len(t)] and got["positions"] == [1, sum(order)]
+            assert got["faults"][0] == 0 and (got["faults"][1] == 0) == (list(order) == naive(t))
