@@ -52,3 +52,9 @@ def test_tables_of_suffixes_are_not_broadcast(spark, data, name):
     """Spark takes them for as small as the texts they come from; all of them would pass through the driver."""
     plan = catalog.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("name", ["sa_documents_order", "sa_pages_order"])
+def test_orders_are_checked_without_rows_of_suffixes(spark, data, name):
+    plan = catalog.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "HashAggregate" not in plan
