@@ -133,3 +133,41 @@ def invert_bwt(symbols: np.ndarray, i0: int, last: int) -> bytes:
         slot = steps[slot]
     out.reverse()
     return bytes(out)
+
+
+#: Texts are rebuilt side by side while there are so many of them; the others one by one.
+_SIDE_BY_SIDE = 32
+
+
+def invert_bwts(symbols: np.ndarray, sizes: np.ndarray, i0: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """invert_bwt() of many texts, none of them empty, end to end: all of them take a step at once."""
+    n, texts = int(sizes.sum()), np.arange(len(sizes))
+    starts, owner = np.cumsum(sizes) - sizes, np.repeat(texts, sizes)
+    real = np.delete(np.arange(n), starts + i0)
+    by = owner[real] * 256 + symbols[real]
+    order = np.argsort(by, kind="stable")
+    slots, by = real[order], by[order]
+    # A slot's place among its text's symbols; the text's last byte goes before those that aren't less.
+    lf = np.full(n, -1, np.int64)
+    lf[slots] = np.arange(len(slots)) + owner[slots] + (symbols[slots] >= last[owner[slots]])
+    slot = np.searchsorted(by, texts * 256 + last) + texts
+    out = np.zeros(n, np.uint8)
+    out[starts + sizes - 1] = last
+    rank = np.argsort(-sizes, kind="stable")
+    falling = -sizes[rank]
+    starts, sizes, slot = starts[rank], sizes[rank], slot[rank]
+    step = 1
+    while (left := int(np.searchsorted(falling, -step))) >= _SIDE_BY_SIDE:  # texts of over `step` bytes
+        at = slot[:left]
+        out[starts[:left] + sizes[:left] - 1 - step] = symbols[at]
+        slot[:left] = lf[at]
+        step += 1
+    for k in range(left):
+        begin, size, at = int(starts[k]), int(sizes[k]), int(slot[k] - starts[k])
+        steps = (lf[begin : begin + size] - begin).tolist()
+        path = np.empty(size - step, np.int64)
+        for j in range(size - step - 1, -1, -1):
+            path[j] = at
+            at = steps[at]
+        out[begin : begin + size - step] = symbols[begin : begin + size][path]
+    return out

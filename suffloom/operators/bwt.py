@@ -13,10 +13,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from suffloom.functions.kernel import invert_bwt
+from suffloom.functions.kernel import invert_bwts
 from suffloom.operators.ranking import prefix_sums
 from suffloom.operators.shared import joined, once, written
 from suffloom.operators.suffix_array import text_runs
+from suffloom.shipping import ship
 
 
 def bwt(suf: DataFrame) -> DataFrame:
@@ -112,15 +113,53 @@ def lf_mapping(suf: DataFrame, large: bool = False) -> DataFrame:
     return rows.select("text_id", "rank", (F.col("c") + F.col("occ") + (F.col("sym") == F.col("last")).cast("long")).alias("lf"))
 
 
-def inverse_bwt(transform: DataFrame, primary: DataFrame, last: DataFrame) -> DataFrame:
-    """(text_id, bytes) from (text_id, rank, sym), (text_id, i0) and (text_id, last). A text is rebuilt by one task."""
+#: Rows that are rebuilt at once, if they are whole texts.
+_RUN = 1 << 20
+
+
+def _inverted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of rows (text_id, rank, value) in order; rank -2 has the slot of position 0, rank -1 the last byte."""
+    for ids, rank, value in _whole_texts(batches):
+        begins = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        rows = np.diff(np.append(begins, len(ids)))
+        full = (rows > 2) & (rank[begins] == -2) & (rank[np.minimum(begins + 1, len(ids) - 1)] == -1)
+        begins, sizes = begins[full], rows[full] - 2
+        if not len(begins):
+            continue
+        slots = np.repeat(full, rows) & (rank >= 0)
+        ends = np.cumsum(sizes)
+        out = invert_bwts(value[slots], sizes, value[begins], value[begins + 1])
+        offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+        texts = pa.Array.from_buffers(pa.binary(), len(sizes), [None, offsets.buffers()[1], pa.py_buffer(out)])
+        yield pa.RecordBatch.from_arrays([pa.array(ids[begins]), texts], names=["text_id", "bytes"])
+
+
+def _whole_texts(batches: Iterable[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Rows in order of text_id, about _RUN at a time; a text's rows stay together."""
+    held: list[list[np.ndarray]] = []
+    count = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        new = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        if count >= _RUN and new[0][-1] != held[0][0][0]:
+            held.append(new)
+            rows = [np.concatenate(x) for x in zip(*held, strict=True)]
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))
+            yield [x[:cut] for x in rows]
+            held, count = [[x[cut:] for x in rows]], len(rows[0]) - cut
+        else:
+            held.append(new)
+            count += b.num_rows
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        rank = rows.column("rank").to_numpy()
-        symbols = np.zeros(len(rank), np.int64)
-        symbols[rank] = rows.column("sym").to_numpy()
-        text = invert_bwt(symbols, rows.column("i0")[0].as_py(), rows.column("last")[0].as_py())
-        return pa.table({"text_id": pa.array([key[0].as_py()], pa.int64()), "bytes": pa.array([text], pa.binary())})
 
-    rows = joined(joined(transform, primary, "text_id"), last, "text_id")
-    return rows.groupBy("text_id").applyInArrow(run, "text_id bigint, bytes binary")
+def inverse_bwt(transform: DataFrame, primary: DataFrame, last: DataFrame) -> DataFrame:
+    """(text_id, bytes) from (text_id, rank, sym), (text_id, i0) and (text_id, last). A text is rebuilt by one task, many at a time.
+    What is known of a text comes as rows before its own, so that there is one shuffle and no join."""
+    ship(transform.sparkSession)
+    marks = primary.select("text_id", F.lit(-2).cast("long").alias("rank"), F.col("i0").cast("long").alias("value"))
+    marks = marks.unionByName(last.select("text_id", F.lit(-1).cast("long").alias("rank"), F.col("last").cast("long").alias("value")))
+    rows = transform.select("text_id", "rank", F.col("sym").cast("long").alias("value")).unionByName(marks).where("text_id IS NOT NULL")
+    return rows.repartition("text_id").sortWithinPartitions("text_id", "rank").mapInArrow(_inverted, "text_id bigint, bytes binary")

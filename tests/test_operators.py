@@ -2,9 +2,11 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from suffloom.functions import kernel
 from suffloom.operators import blocks, bwt, merging, search
 from suffloom.operators import suffix_array as sa
 from suffloom.operators.ranking import competition_ranks
@@ -263,3 +265,22 @@ def test_wrong_orders_are_found():
             got = sa.order_checked(np.arange(3), np.frombuffer(b"".join(two), np.uint8), np.array([2, 0, len(t)]), flat).to_pydict()
             assert got["text_id"] == [0, 2] and got["n"] == [2, len(t)] and got["positions"] == [1, sum(order)]
             assert got["faults"][0] == 0 and (got["faults"][1] == 0) == (list(order) == naive(t))
+
+
+def test_texts_are_inverted_together(suf, monkeypatch):
+    last = suf.where(F.col("pos") == F.col("n") - 1).select("text_id", F.col("sym").alias("last"))
+    by_text = bwt.inverse_bwt(bwt.bwt(suf), bwt.primary_index(suf).where("text_id <> 3"), last.where("text_id <> 4"))
+    assert {r["text_id"]: bytes(r["bytes"]) for r in by_text.collect()} == {i: t for i, t in enumerate(TEXTS) if t and i not in (3, 4)}
+    plan = by_text._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan and "FlatMapGroups" not in plan
+    made = []
+    for i, t in enumerate(TEXTS):
+        order = naive(t)
+        if t:
+            made += [(i, -2, order.index(0)), (i, -1, t[-1]), *((i, r, t[p - 1] if p else 0) for r, p in enumerate(order))]
+    for run, side, size in ((1, 1, 1), (7, 5, 3), (40, 1000, 16), (1000, 8, 50)):
+        monkeypatch.setattr(bwt, "_RUN", run)
+        monkeypatch.setattr(kernel, "_SIDE_BY_SIDE", side)
+        batches = [pa.RecordBatch.from_pylist([dict(zip(("text_id", "rank", "value"), x)) for x in made[k : k + size]]) for k in range(0, len(made), size)]
+        got = [(r["text_id"], r["bytes"]) for b in bwt._inverted(batches) for r in b.to_pylist()]
+        assert got == [(i, t) for i, t in enumerate(TEXTS) if t]
