@@ -26,16 +26,17 @@ from suffloom.sources.arrays import ArrayStore
 KERNEL_LIMIT = 8 << 20
 SCHEMA = "text_id bigint, pos bigint, rank bigint, n bigint, sym int, prev int"
 _BATCH, _ROWS = 2 << 20, 1 << 18
+_SPREAD = 16 << 20
 
 
 def spread(texts: DataFrame, total: int | None = None) -> DataFrame:
-    """texts over all cores, if they are few bytes: a small table may lie in one row group, which one task
-    reads, and suffix sorting costs far more than moving it. Larger tables keep their scan's partitions."""
+    """texts over all cores, and at most some _SPREAD bytes to a task: however large, a row group is read by one task, and
+    suffix sorting costs far more than moving it."""
     if total is None:
         total = texts.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
     cores = texts.sparkSession.sparkContext.defaultParallelism
-    parts = min(2 * cores, total // (256 << 10))
-    return texts.repartition(parts, "text_id") if 1 < parts and total < cores * (32 << 20) else texts
+    parts = max(min(2 * cores, total // (256 << 10)), -(-total // _SPREAD))
+    return texts.repartition(parts, "text_id") if parts > 1 else texts
 
 
 def texts_of(df: DataFrame, id_column: str, text_column: str) -> DataFrame:

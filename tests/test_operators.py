@@ -284,3 +284,17 @@ def test_texts_are_inverted_together(suf, monkeypatch):
         batches = [pa.RecordBatch.from_pylist([dict(zip(("text_id", "rank", "value"), x)) for x in made[k : k + size]]) for k in range(0, len(made), size)]
         got = [(r["text_id"], r["bytes"]) for b in bwt._inverted(batches) for r in b.to_pylist()]
         assert got == [(i, t) for i, t in enumerate(TEXTS) if t]
+
+
+def test_texts_are_spread_by_their_bytes(spark, texts, monkeypatch):
+    """However many bytes there are, no task gets much more than its part of them."""
+    df = spark.createDataFrame([(i, bytearray(b"ab" * 500)) for i in range(400)], "text_id bigint, bytes binary").coalesce(1)
+    monkeypatch.setattr(sa, "_SPREAD", 10_000)
+    for total in (None, 40 << 30):
+        if total:
+            monkeypatch.setattr(sa, "_SPREAD", total // 40)
+        got = sa.spread(df, total)
+        sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        assert got.rdd.getNumPartitions() == 40 and sum(sizes) == 400 and max(sizes) < 40
+    monkeypatch.undo()
+    assert rows(sa.spread(texts), "text_id") == rows(texts, "text_id")
